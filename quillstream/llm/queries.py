@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import split
+from quillstream.llm import split, truncation
 from quillstream.session import table
 
 
@@ -19,7 +19,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where((F.col("piece_no") == 1) & (F.col("n_pieces") > 1)).select("origin", "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncation.detect(table(spark, d, "documents")).where("truncated").select("doc_id").distinct()
+
+
+def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.by_source(table(spark, d, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
 
 _ITEMS = "SELECT 'papers' AS origin, paper_id AS item_id, full_text AS t FROM papers UNION ALL SELECT 'refs', ref_id, abstract FROM refs"
 ORACLES = {"p3_found": rf"SELECT origin, item_id FROM ({_ITEMS}) WHERE len(regexp_extract_all(t, '[^ \t\n\r\f]+')) > 400"}
