@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import split, truncation
+from quillstream.llm import canonical, split, truncation
 from quillstream.session import table
 
 
+def p1_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of refs with the list entry that its journal means, and how it was found."""
+    return canonical.journals_of(table(spark, d, "refs"), table(spark, d, "journals"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose journal isn't in the list as typed but means an entry."""
+    return p1_mapped(spark, d).where("status = 'mapped'").select("ref_id", "nlmid").distinct()
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that mean no entry, with their rows."""
+    return canonical.unmatched(table(spark, d, "refs"), table(spark, d, "journals"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every paper and abstract."""
     return split.corpus_pieces(table(spark, d, "papers"), table(spark, d, "refs"))
@@ -29,7 +44,7 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
 
 _ITEMS = "SELECT 'papers' AS origin, paper_id AS item_id, full_text AS t FROM papers UNION ALL SELECT 'refs', ref_id, abstract FROM refs"
 ORACLES = {"p3_found": rf"SELECT origin, item_id FROM ({_ITEMS}) WHERE len(regexp_extract_all(t, '[^ \t\n\r\f]+')) > 400"}
