@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import canonical, names, split, truncation
+from quillstream.llm import canonical, names, scans, split, truncation
 from quillstream.session import table
 
 
@@ -34,6 +34,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where((F.col("piece_no") == 1) & (F.col("n_pieces") > 1)).select("origin", "item_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Flawed lines of scanned papers."""
+    return scans.flaws(table(spark, d, "papers"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every paper as continuous paragraphs."""
+    return scans.repaired(table(spark, d, "papers"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of spellings of one author or one organisational unit."""
     return names.variant_pairs(table(spark, d, "refs")).distinct()
@@ -49,7 +59,7 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p7_found": p7_found, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
 
 _ITEMS = "SELECT 'papers' AS origin, paper_id AS item_id, full_text AS t FROM papers UNION ALL SELECT 'refs', ref_id, abstract FROM refs"
 ORACLES = {"p3_found": rf"SELECT origin, item_id FROM ({_ITEMS}) WHERE len(regexp_extract_all(t, '[^ \t\n\r\f]+')) > 400"}
