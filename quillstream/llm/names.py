@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.edit import fold
 from quillstream.llm.triejoin import Trie, bases
+from quillstream.session import cut
 
 #: Short and foreign forms of given names, by the full form.
 NICKNAMES = {
@@ -170,10 +171,11 @@ def person_pairs(names: DataFrame, column: str = "name") -> DataFrame:
     Null, blank and unreadable names (no surname, or no given name) have no pair; repeated names count once;
     names that agree with several persons are linked with each.
     """
-    read = _counted(names, column).select("name", "rows", F.pandas_udf(_read_names, NAME)("name").alias("p")).select("name", "rows", "p.*").where("surname is not null")
-    parts = read.groupBy("initial", "surname").agg(F.sum("rows").alias("rows"))
+    read = cut(_counted(names, column).select("name", "rows", F.pandas_udf(_read_names, NAME)("name").alias("p")).select("name", "rows", "p.*").where("surname is not null"))
+    parts = cut(read.groupBy("initial", "surname").agg(F.sum("rows").alias("rows")))
     wrong = bases(parts, "initial", "surname", "rows", 1.0).select(F.col("kind").alias("initial"), F.col("text").alias("surname"), "base")
     base = read.join(wrong, ["initial", "surname"], "left").withColumn("base", F.coalesce("base", "surname")).drop("rows")
+    base = cut(base)
     a, b = (base.select("initial", "base", *[F.col(c).alias(f"{c}_{x}") for c in ("name", "surname", "middle", "given")]) for x in "ab")
     empty = lambda c: F.size(c) == 0
     agree = (
@@ -191,10 +193,10 @@ def unit_pairs(units: DataFrame, column: str = "name") -> DataFrame:
     departments of the table and misspellings undone. Country, postal code and footnote marks don't count. Null
     and blank values and those without institution or department have no pair; repeated values count once.
     """
-    read = _counted(units, column).select("name", "rows", F.pandas_udf(_read_units, UNIT)("name").alias("p")).select("name", "rows", "p.*").where("inst <> ''")
+    read = cut(_counted(units, column).select("name", "rows", F.pandas_udf(_read_units, UNIT)("name").alias("p")).select("name", "rows", "p.*").where("inst <> ''"))
     listed = read.where("marked and dept <> ''").groupBy(F.col("dept").alias("phrase")).agg(F.sum("rows").alias("n"))
     spots = read.select("rows", F.explode(F.concat("spots", "loose")).alias("spot")).groupBy("spot").agg(F.sum("rows").alias("n"))
-    words = listed.select(F.lit("dept").alias("kind"), F.col("phrase").alias("t"), "n").unionByName(spots.select(F.lit("spot").alias("kind"), F.col("spot").alias("t"), "n"))
+    words = cut(listed.select(F.lit("dept").alias("kind"), F.col("phrase").alias("t"), "n").unionByName(spots.select(F.lit("spot").alias("kind"), F.col("spot").alias("t"), "n")))
     fixed = bases(words, "kind", "t", "n", 2.0)
     dept_fix, spot_fix = (fixed.where(F.col("kind") == k).select(F.col("text").alias(f"{k}_was"), F.col("base").alias(f"{k}_is")) for k in ("dept", "spot"))
     # an abbreviated phrase stands for the one listed phrase with the same first letters of its words
@@ -210,7 +212,7 @@ def unit_pairs(units: DataFrame, column: str = "name") -> DataFrame:
     usable = F.when(F.size("spots") > 0, F.col("spots")).otherwise(F.filter("loose", lambda s: stems(s) != stems(F.col("dept"))))
     place = own.select("name", "inst", "dept", F.get(usable, F.lit(0)).alias("spot")).where("spot <> ''")
     place = place.join(spot_fix, F.col("spot") == F.col("spot_was"), "left").withColumn("spot", F.coalesce("spot_is", "spot"))
-    key = place.select("name", "inst", "dept", "spot").distinct()
+    key = cut(place.select("name", "inst", "dept", "spot").distinct())
     a, b = (key.select("inst", "dept", "spot", F.col("name").alias(f"name_{x}")) for x in "ab")
     return a.join(b, ["inst", "dept", "spot"]).where("name_a < name_b").select("name_a", "name_b")
 

@@ -7,10 +7,11 @@ and walks it with the automaton of each of its strings, whose state is the band
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.session import cut
+
 #: Strings with fewer characters have no neighbours: one edit would make too much of them.
 LEAST = 5
 #: A shard with more strings is walked by several tasks.
@@ -74,7 +75,7 @@ def neighbours(strings: DataFrame, kind: str, text: str) -> DataFrame:
     rows = strings.select(F.col(kind).alias("kind"), F.col(text).alias("a")).where(F.length("a") >= LEAST).distinct()
     keyed = rows.select("kind", "a", F.explode(_parts(F.col("a"))).alias("part"))
     sizes = keyed.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, ["kind", "part"])
+    keyed = cut(keyed.join(sizes, ["kind", "part"]))
     tasks, tries = (F.ceil(F.col("n") / x).cast("int") for x in (PER_TASK, PER_TRIE))
     place = lambda n: F.pmod(F.xxhash64("a"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -91,7 +92,7 @@ def neighbours(strings: DataFrame, kind: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({c: [r[i] for r in found] for i, c in enumerate(("kind", "a", "b"))}, schema=pa.schema([(c, pa.string()) for c in ("kind", "a", "b")]))
 
     lists = asked.groupBy(*by).agg(F.collect_list("a").alias("ask")).join(shard.groupBy(*by).agg(F.collect_list("a").alias("words")), by)
-    return lists.mapInArrow(walk, "kind string, a string, b string").distinct()
+    return cut(lists.mapInArrow(walk, "kind string, a string, b string").distinct())
 
 
 def bases(strings: DataFrame, kind: str, text: str, rows: str, times: float = 2.0) -> DataFrame:
