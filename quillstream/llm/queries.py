@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import canonical, names, scans, split, truncation
-from quillstream.session import table
+from quillstream.llm import canonical, mixing, names, packing, scans, split, truncation
+from quillstream.session import cut, table
 
 
 def p1_mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +49,29 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(table(spark, d, "refs")).distinct()
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in its container."""
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p8_packed(spark, d))
+
+
+def p9_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """The texts drawn and how often each is used."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.draw(mixing.texts_of(table(spark, d, "documents"), targets), targets)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    targets = table(spark, d, "mix_targets")
+    texts = cut(mixing.texts_of(table(spark, d, "documents"), targets))
+    return mixing.shares(mixing.draw(texts, targets), texts, targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text was cut off."""
     return truncation.detect(table(spark, d, "documents")).where("truncated").select("doc_id").distinct()
@@ -59,7 +82,7 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
 
 _ITEMS = "SELECT 'papers' AS origin, paper_id AS item_id, full_text AS t FROM papers UNION ALL SELECT 'refs', ref_id, abstract FROM refs"
 ORACLES = {"p3_found": rf"SELECT origin, item_id FROM ({_ITEMS}) WHERE len(regexp_extract_all(t, '[^ \t\n\r\f]+')) > 400"}
