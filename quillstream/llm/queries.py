@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import canonical, mixing, names, packing, scans, split, truncation
+from quillstream.llm import canonical, linkage, mixing, names, packing, scans, split, truncation
 from quillstream.session import cut, table
 
 
@@ -44,6 +44,16 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(table(spark, d, "papers"))
 
 
+def p6_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Cited works with the record that is the same publication, and the confidence."""
+    return linkage.link(table(spark, d, "cited_works"), table(spark, d, "refs"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The same without confidence."""
+    return p6_linked(spark, d).select("pmid", "cite_id").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of spellings of one author or one organisational unit."""
     return names.variant_pairs(table(spark, d, "refs")).distinct()
@@ -82,7 +92,7 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_linked": p6_linked, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
 
 _ITEMS = "SELECT 'papers' AS origin, paper_id AS item_id, full_text AS t FROM papers UNION ALL SELECT 'refs', ref_id, abstract FROM refs"
 ORACLES = {"p3_found": rf"SELECT origin, item_id FROM ({_ITEMS}) WHERE len(regexp_extract_all(t, '[^ \t\n\r\f]+')) > 400"}
