@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import canonical, linkage, mixing, names, packing, scans, split, truncation
+from quillstream.llm import canonical, linkage, mixing, names, packing, scans, split, truncation, vectors
 from quillstream.session import cut, table
 
 
@@ -34,6 +34,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where((F.col("piece_no") == 1) & (F.col("n_pieces") > 1)).select("origin", "item_id")
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar vectors of each vector, one row each."""
+    near = vectors.neighbours(table(spark, d, "chroma_db"))
+    return near.select("vec_id", F.posexplode("near").alias("rank", "n")).select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("near_id"), "n.cosine")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of neighbours with a cosine of at least 0.9."""
+    return vectors.pairs(vectors.neighbours(table(spark, d, "chroma_db")))
+
+
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The recall of the index against brute force."""
+    all_ = table(spark, d, "chroma_db")
+    return vectors.recall(all_, vectors.neighbours(all_))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Flawed lines of scanned papers."""
     return scans.flaws(table(spark, d, "papers"))
@@ -92,7 +109,7 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_linked": p6_linked, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_linked": p6_linked, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
 
 _ITEMS = "SELECT 'papers' AS origin, paper_id AS item_id, full_text AS t FROM papers UNION ALL SELECT 'refs', ref_id, abstract FROM refs"
 ORACLES = {"p3_found": rf"SELECT origin, item_id FROM ({_ITEMS}) WHERE len(regexp_extract_all(t, '[^ \t\n\r\f]+')) > 400"}
