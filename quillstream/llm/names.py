@@ -159,8 +159,8 @@ def _read_units(texts: pd.Series) -> pd.DataFrame:
 
 
 def _counted(texts: DataFrame, column: str) -> DataFrame:
-    """Distinct non-blank strings with their rows."""
-    return texts.select(F.col(column).alias("name")).where(F.trim("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    """Distinct non-blank strings with their rows, written down so that no filter moves a parser before the count."""
+    return cut(texts.select(F.col(column).alias("name")).where(F.trim("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("rows")))
 
 
 def person_pairs(names: DataFrame, column: str = "name") -> DataFrame:
