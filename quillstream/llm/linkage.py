@@ -10,6 +10,7 @@ solved apart, with the exclusivity constraint, then agree on the value that line
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,10 @@ ACCEPT = 0.5
 PAIR_LEAST = 0.75
 #: Rounds of agreement between blocks, steps within a block, and rows of a block.
 ROUNDS, STEPS, BLOCK = 3, 60, 20_000
-#: Keys of a title: all triples of so many of its rarest words.
-RAREST = 5
+#: Keys of a title: choices of three to five of its RAREST rarest words that BY_CHANCE titles at most would have in common if words were independent.
+RAREST, BY_CHANCE = 6, 0.05
+#: A word that follows one other word in such a share of its places is part of a phrase.
+FOLLOWS = 0.8
 #: Words that references drop.
 STOP = "a an and as at by de der des die in of on the to for from with during through under vs versus und la le los las el en y et du der dans chez".split()
 #: What a title begins with that is about another publication.
@@ -64,35 +67,51 @@ def _fields(df: DataFrame, title: str, year: str, volume: str, pages: str, keep:
     )
 
 
-def _keys(df: DataFrame, id_: str, rarity: DataFrame) -> DataFrame:
-    """(id, key): the numbers in pairs, and triples of the rarest known words of the title.
+def _keys(df: DataFrame, id_: str, rare: DataFrame, log_rows: float) -> DataFrame:
+    """(id, key): the numbers in pairs, and choices of the rarest known words of the title.
 
     The words that count as known are those of the publications; a word is as rare as few titles have it.
     """
     two = lambda a, b, tag: F.when((F.col(a) != "") & (F.col(b) != ""), F.concat_ws("|", F.lit(tag), F.col(a), F.col(b)))
     numbers = df.select(id_, F.explode(F.filter(F.array(two("volume", "first", "vp"), two("year", "first", "yp")), lambda k: k.isNotNull())).alias("key"))
-    word = df.select(id_, F.explode(F.array_distinct("words")).alias("word")).join(rarity, "word")
-    ranked = word.groupBy(id_).agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word"))), 1, RAREST).alias("w"))
-    w = F.sort_array(F.transform("w", lambda x: x["word"]))
-    ranked = ranked.select(id_, w.alias("w"), F.size("w").alias("k"))
-    i = lambda a, b: F.sequence(a, b)
-    triple = F.flatten(
-        F.transform(
-            i(F.lit(1), F.col("k") - 2),
-            lambda a: F.flatten(F.transform(i(a + 1, F.col("k") - 1), lambda b: F.transform(i(b + 1, F.col("k")), lambda c: F.concat_ws("|", F.lit("t"), F.element_at("w", a.cast("int")), F.element_at("w", b.cast("int")), F.element_at("w", c.cast("int")))))),
-        )
-    )
-    titles = ranked.where("k >= 3").select(id_, F.explode(triple).alias("key"))
+    word = df.select(id_, F.explode(F.array_distinct("words")).alias("word")).join(rare, "word")
+    ranked = word.groupBy(id_).agg(F.slice(F.sort_array(F.collect_list(F.struct("info", "word"))), 1, RAREST).alias("w")).withColumn("k", F.size("w"))
+
+    # choices of words that few titles can have in common by chance, where no smaller choice of the rarest of them does
+    def chance(c, n: int):
+        return sum((F.element_at("w", F.element_at(c, i + 1))["info"] for i in range(n)), F.lit(float(log_rows)))
+
+    def chosen(size: int):
+        choices = F.array(*[F.array(*[F.lit(i + 1) for i in c]) for c in combinations(range(RAREST), size)])
+        rare_enough = lambda c: (chance(c, size) <= math.log(BY_CHANCE)) & ((chance(c, size - 1) > math.log(BY_CHANCE)) if size > 3 else F.lit(True))
+        there = F.filter(choices, lambda c: F.when(F.element_at(c, -1) <= F.col("k"), rare_enough(c)).otherwise(False))
+        return F.transform(there, lambda c: F.concat_ws("|", F.lit("t"), F.array_join(F.array_sort(F.transform(c, lambda i: F.element_at("w", i)["word"])), "|")))
+
+    titles = ranked.where("k >= 3").select(id_, F.explode(F.concat(*[chosen(n) for n in (3, 4, 5)])).alias("key"))
     return numbers.unionAll(titles)
 
 
+def rarity(papers: DataFrame) -> DataFrame:
+    """(word, n): the words of titles that can be parts of keys, with the number of titles.
+
+    A word that nearly always follows one and the same word (as ``mortality`` follows ``all-cause``) tells nothing
+    beside it and is left out: keys of such words would join all titles with the phrase.
+    """
+    at = papers.select("r", F.posexplode("words").alias("at", "word"), "words")
+    at = at.select("r", "word", F.when(F.col("at") > 0, F.get("words", F.col("at") - 1)).otherwise("").alias("before"))
+    n = cut(at.groupBy("before", "word").agg(F.count(F.lit(1)).alias("n")))
+    words = n.groupBy("word").agg(F.sum("n").alias("n"), F.max_by("before", "n").alias("before"), F.max("n").alias("most"))
+    return words.where((F.col("most") < FOLLOWS * F.col("n")) | (F.col("before") == "") | (F.col("n") < 20)).select("word", "n")
+
+
 def candidates(works: DataFrame, papers: DataFrame) -> DataFrame:
-    """(c, r): pairs that share a pair of numbers or three rare words of their titles.
+    """(c, r): pairs that share a pair of numbers or three to five rare words of their titles.
 
     Both sides hold distinct references, so a popular publication is one row and not its many copies.
     """
-    rarity = cut(papers.select("r", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    a, b = _keys(works, "c", rarity), _keys(papers, "r", rarity)
+    rows = max(1, papers.count())
+    rare = cut(rarity(papers).withColumn("info", F.log(F.col("n") / rows)).select("word", "info"))
+    a, b = (_keys(x, i, rare, math.log(rows)) for x, i in ((works, "c"), (papers, "r")))
     return a.join(b, "key").select("c", "r").distinct()
 
 
