@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstream.plans import nested
+from quillstream.plans import nested, store
 
-MODULES = [nested]
+MODULES = [nested, store]
 
 
 def queries() -> dict:
