@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.session import cut
+
 #: A limit is a length at which a source has at least so many unterminated texts, and so many times as many as at lengths nearby.
 LIMIT_LEAST, LIMIT_TIMES, NEAR = 4, 6.0, 12
 #: A last line that closes at least so many texts is a formula, and a word which ends a sentence at least so often can end a headline.
@@ -127,7 +129,7 @@ def detect(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select("doc_id", "source", "n_chars", "text")
     read = docs.withColumn("_e", F.pandas_udf(_endings, ENDING)(F.coalesce("text", F.lit(""))))
-    rows = read.select("doc_id", "source", "n_chars", "_e.*", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
+    rows = cut(read.select("doc_id", "source", "n_chars", "_e.*", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes")))
     open_case = F.col("kind").isin("plain", "list", "table", "cited", "mark", "group")
     lines = rows.where(open_case).groupBy(F.col("last_line").alias("_line")).agg(F.count(F.lit(1)).alias("n_line"))
     headline = rows.where(F.col("single") & (F.col("kind") == "plain")).groupBy(F.col("last_word").alias("_head")).agg(F.count(F.lit(1)).alias("n_head"))
