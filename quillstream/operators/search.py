@@ -32,12 +32,14 @@ def postings(store: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, index: DataFrame, key: str = "query") -> DataFrame:
-    """(query, pmid) of all records that have every term of a query (terms joined by `` AND ``).
+    """(query, pmid) of all records that have every term of a query.
 
-    Relational division: as many different terms found as the query has. Equal queries are answered once; empty
-    ones find nothing.
+    The terms are those of the column ``terms`` if there is one, else the parts between `` AND ``. Relational
+    division: as many different terms found as the query has. Equal queries are answered once; empty ones find
+    nothing.
     """
-    q = queries.select(F.col(key).alias("query")).where("query <> ''").distinct().withColumn("terms", F.array_distinct(F.split("query", " AND ")))
+    terms = F.col("terms") if "terms" in queries.columns else F.split(key, " AND ")
+    q = queries.select(F.col(key).alias("query"), F.array_distinct(terms).alias("terms")).where("query <> ''").dropDuplicates(["query"])
     each = q.select("query", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     found = each.join(index, "term").groupBy("query", "n", "pmid").agg(F.count(F.lit(1)).alias("hits"))
     return found.where(F.col("hits") == F.col("n")).select("query", "pmid")

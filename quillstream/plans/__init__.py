@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstream.plans import nested, store
+from quillstream.plans import citations, nested, store
 
-MODULES = [nested, store]
+MODULES = [nested, store, citations]
 
 
 def queries() -> dict:
