@@ -62,7 +62,7 @@ def pmid(x: Column) -> Column:
 def authors(x: Column) -> Column:
     """array<struct<author, affiliation>> of the authors with a last name; collective names are dropped."""
     schema = "MedlineCitation struct<Article:struct<AuthorList:struct<Author:array<struct<LastName:string,Initials:string,AffiliationInfo:array<struct<Affiliation:string>>>>>>>"
-    record = F.from_xml(F.regexp_extract(x, r"(?s)(<PubmedArticle[ >].*</PubmedArticle>)", 1), schema)
+    record = F.from_xml(F.regexp_extract(x, r"(?s)(<PubmedArticle[ >].*</PubmedArticle>)", 1), schema, {"ignoreSurroundingSpaces": "false"})
     listed = F.filter(record["MedlineCitation"]["Article"]["AuthorList"]["Author"], lambda a: F.coalesce(a["LastName"], F.lit("")) != "")
     none = F.array().cast("array<string>")
     made = F.transform(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstream.plans import citations, nested, store
+from quillstream.plans import citations, nested, records, store
 
-MODULES = [nested, store, citations]
+MODULES = [nested, store, citations, records]
 
 
 def queries() -> dict:
