@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from quillstream.session import BROADCAST_ROWS, cut
 
 K, DIMENSIONS = 5, 64
-#: The tree is fitted on at most SAMPLE vectors and splits a node into at most BRANCH; a leaf should hold LEAF vectors.
-SAMPLE, BRANCH, LEAF = 60_000, 16, 800
+#: The tree is fitted on at most SAMPLE vectors and splits a node into at most BRANCH; a leaf should hold LEAF vectors. A wide top
+#: follows the clusters of the data; a narrow one cuts through them, and its borders cost many visits.
+SAMPLE, BRANCH, LEAF = 60_000, 96, 800
 #: Share of true neighbours that must lie in the visited leaves, measured with so many vectors against all.
-RECALL, PROBES = 0.96, 400
+RECALL, PROBES = 0.93, 400
 #: Vectors in a bin; a leaf with more is divided by a hash of the vector's id.
 BIN = 12_000
 #: A class of exact copies with more members than K + 1 is searched through its first K + 1.
@@ -138,11 +139,21 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
 
 
 def _blocks(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first block of each leaf, blocks of each leaf, bin of each block); leaves of one branch share bins."""
+    """(first block of each leaf, blocks of each leaf, bin of each block); leaves of similar branches share bins."""
     parts = np.array([max(1, math.ceil(s / BIN)) for s in tree.sizes])
     first = np.concatenate([[0], np.cumsum(parts)[:-1]])
+    under: dict[int, list[int]] = {}
+    for leaf, path in enumerate(tree.paths):
+        under.setdefault(path[0], []).append(leaf)
+    left, order = sorted(under), []
+    mean = np.zeros(DIMENSIONS, np.float32)
+    while left:  # the branch most similar to those before it comes next
+        near = tree.nodes[left] @ mean
+        top = left.pop(int(np.argmax(near)))
+        order += under[top]
+        mean = 0.7 * mean + tree.nodes[top]
     bins, room, b = np.zeros(parts.sum(), int), 0.0, 0
-    for leaf in sorted(range(len(tree.paths)), key=lambda i: tree.paths[i]):
+    for leaf in order:
         for i in range(parts[leaf]):
             size = tree.sizes[leaf] / parts[leaf]
             if room and room + size > BIN:
