@@ -63,7 +63,8 @@ def match(citations: DataFrame, key: str, text: str, idx: DataFrame) -> DataFram
     only where no abbreviation fits and in any case. ``partial``: nothing fits, but a name could if the text
     began earlier. Citations without a match have a null journal.
     """
-    rows = citations.select(F.col(key), F.col(text).alias("_t")).withColumn("_s", token_spans(F.col("_t")))
+    name, key = key, "_id"
+    rows = citations.select(F.col(name).alias(key), F.col(text).alias("_t")).withColumn("_s", token_spans(F.col("_t")))
     idx = F.broadcast(idx) if idx.count() <= BROADCAST_ROWS else idx
     at = rows.select(key, "_t", "_s", F.posexplode("_s").alias("_i", "_x")).where(F.col("_i") < F.size("_s") - 1)
     low = lambda a: F.transform(a, F.lower)
@@ -87,4 +88,4 @@ def match(citations: DataFrame, key: str, text: str, idx: DataFrame) -> DataFram
     one = fits.withColumn("_r", best).where("_r = 1").select(F.col(key).alias("_key"), "title", F.col("abbr").alias("journal"), "numbers")
     part = found.where(~F.col("whole")).select(F.col(key).alias("_pkey")).distinct().withColumn("_part", F.lit(True))
     out = rows.select(key).join(one, F.col(key) == F.col("_key"), "left").join(part, F.col(key) == F.col("_pkey"), "left")
-    return out.select(key, "title", "journal", "numbers", (F.col("journal").isNull() & F.coalesce("_part", F.lit(False))).alias("partial"))
+    return out.select(F.col(key).alias(name), "title", "journal", "numbers", (F.col("journal").isNull() & F.coalesce("_part", F.lit(False))).alias("partial"))

@@ -106,7 +106,13 @@ def record_variant(payload: Column, known: tuple[str, ...] = KNOWN) -> Column:
         inner = F.filter(F.coalesce(values, F.array().cast("array<variant>")), has)
         return F.when(has(top), top).when(_kind(_get(top, "record")) == "OBJECT", _get(top, "record")).otherwise(F.try_element_at(inner, F.lit(1)))
 
-    return _once(F.try_parse_json(payload), pick)
+    return _once(whole_json(payload), pick)
+
+
+def whole_json(text: Column) -> Column:
+    """The variant of a JSON text; null if the text is no JSON, is a list, or goes on behind its value, which the parser itself would not notice."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return _once(listed, lambda a: F.when((F.size(a) == 1) & F.rtrim(text).rlike(r"[^\]\s]\s*$"), a[0]))
 
 
 def _once(value: Column, use) -> Column:

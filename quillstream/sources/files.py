@@ -87,10 +87,19 @@ def write_journals(journals: DataFrame, path: str) -> None:
         f.writelines(store_json({"pmid": r.nlmid, "JournalTitle": r.journaltitle, "MedAbbr": r.medabbr} for r in rows))
 
 
+def _empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files without content, which scans leave out."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if s.isFile() and s.getLen() == 0]
+
+
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """stem, ext, full_text of the Markdown and text files of a folder."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.{md,txt}").select("value", F.col("_metadata.file_name").alias("_f"))
+    """stem, ext, full_text of the Markdown and text files of a folder; an empty file has an empty text."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{md,txt}").load(folder).select(F.decode("content", "UTF-8").alias("value"), F.col("_metadata.file_name").alias("_f"))
+    empty = [("", n) for n in _empty_files(spark, folder) if re.search(r"\.(md|txt)$", n)]
     name = F.url_decode(F.replace("_f", F.lit("+"), F.lit("%2B")))
+    if empty:
+        files = files.unionAll(spark.createDataFrame(empty, "value string, _f string").withColumn("_f", F.replace(F.url_encode("_f"), F.lit("+"), F.lit("%20"))))
     return files.select(F.regexp_replace(name, r"\.(md|txt)$", "").alias("stem"), F.regexp_extract(name, r"\.(md|txt)$", 1).alias("ext"), F.col("value").alias("full_text"))
 
 
