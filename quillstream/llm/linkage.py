@@ -26,7 +26,7 @@ ACCEPT = 0.5
 #: Pairs whose title similarity and agreement of numbers sum to less can't be accepted and aren't variables.
 PAIR_LEAST = 0.75
 #: Rounds of agreement between blocks, steps within a block, and rows of a block.
-ROUNDS, STEPS, BLOCK = 3, 60, 20_000
+ROUNDS, STEPS, BLOCK = 3, 300, 20_000
 #: Keys of a title: choices of three to five of its RAREST rarest words that BY_CHANCE titles at most would have in common if words were independent.
 RAREST, BY_CHANCE = 6, 0.05
 #: A word that follows one other word in such a share of its places is part of a phrase.
@@ -191,14 +191,16 @@ def _solve(block: pd.DataFrame) -> pd.DataFrame:
     z, u = np.clip(pull / mass, 0, 1), np.zeros(len(block))
     for _ in range(STEPS):
         x = (2 * pull + rho * (z - u)) / (2 * mass + rho)
-        v = np.clip(x + u, 0, 1)
-        for _ in range(3):  # projection on the sum constraint of each group
-            over = np.maximum(0.0, np.bincount(index, weights=v, minlength=len(groups)) - 1.0)
+        v = np.maximum(x + u, 0)
+        while True:  # projection on the sum constraint of each group: the same off each positive value, until none is negative
+            over = np.bincount(index, weights=v, minlength=len(groups)) - 1.0
+            if over.max(initial=0.0) < 1e-9:
+                break
             live = np.bincount(index, weights=(v > 0).astype(float), minlength=len(groups))
-            v = np.clip(v - (over / np.maximum(live, 1.0))[index] * (v > 0), 0, 1)
-        moved = np.abs(v - z).max(initial=0.0)
+            v = np.maximum(v - (np.maximum(over, 0.0) / np.maximum(live, 1.0))[index] * (v > 0), 0)
+        off = max(np.abs(v - z).max(initial=0.0), np.abs(x - v).max(initial=0.0))
         u, z = u + x - v, v
-        if moved < 1e-4:
+        if off < 1e-4:
             break
     return block.assign(value=z)[["c", "r", "work", "title", "numbers", "weight", "value"]]
 

@@ -20,8 +20,8 @@ from quillstream.session import cut
 
 #: A limit is a length at which a source has at least so many unterminated texts, and so many times as many as at lengths nearby.
 LIMIT_LEAST, LIMIT_TIMES, NEAR = 4, 6.0, 12
-#: A last line that closes at least so many texts is a formula, and a word which ends a sentence at least so often can end a headline.
-FORMULA_LEAST, END_RATE = 5, 0.01
+#: A short last line that closes at least so many different texts is a formula, and a word which ends a sentence at least so often can end a headline.
+FORMULA_LEAST, FORMULA_WORDS, END_RATE = 5, 4, 0.01
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 _DELIM = re.compile(r"[()\[\]{}“”«»\n]|&(?:[A-Za-z]{1,8}|#\d{0,6})?$|<(?=/?[A-Za-z])[^<>]{0,80}$|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$")
@@ -129,9 +129,10 @@ def detect(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select("doc_id", "source", "n_chars", "text")
     read = docs.withColumn("_e", F.pandas_udf(_endings, ENDING)(F.coalesce("text", F.lit(""))))
-    rows = cut(read.select("doc_id", "source", "n_chars", "_e.*", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes")))
+    rows = cut(read.select("doc_id", "source", "n_chars", "_e.*", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("text").alias("h")))
     open_case = F.col("kind").isin("plain", "list", "table", "cited", "mark", "group")
-    lines = rows.where(open_case).groupBy(F.col("last_line").alias("_line")).agg(F.count(F.lit(1)).alias("n_line"))
+    # copies of one text count once
+    lines = rows.where(open_case).select(F.col("last_line").alias("_line"), "h").distinct().groupBy("_line").agg(F.count(F.lit(1)).alias("n_line"))
     headline = rows.where(F.col("single") & (F.col("kind") == "plain")).groupBy(F.col("last_word").alias("_head")).agg(F.count(F.lit(1)).alias("n_head"))
     words = _word_ends(docs).join(rows.where(open_case).select(F.col("last_word").alias("_word")).distinct(), "_word", "left_semi")
     for by in ("chars", "bytes"):
@@ -142,7 +143,7 @@ def detect(documents: DataFrame) -> DataFrame:
     limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
     heads = F.greatest(F.coalesce("n_head", F.lit(0)) - 1, F.lit(0))
     known, rate = F.coalesce("n_word", F.lit(0)), F.coalesce((F.col("n_ends") + heads) / (F.col("n_word") + heads), F.lit(0.0))
-    formula = F.coalesce("n_line", F.lit(0)) >= FORMULA_LEAST
+    formula = (F.coalesce("n_line", F.lit(0)) >= FORMULA_LEAST) & ((F.col("kind") == "mark") | (F.size(F.split("last_line", " ")) <= FORMULA_WORDS))
     short = F.coalesce(F.col("n_chars") > F.col("chars") * 1.5, F.lit(False))
     number = F.col("last_word").rlike(r"^\d")
     reason = (
@@ -152,8 +153,8 @@ def detect(documents: DataFrame) -> DataFrame:
         .when(F.col("kind") == "dangling", "open phrase")
         .when((F.col("kind") == "mark") & ~formula & (limit | (known == 0) | (rate < END_RATE)), "mark of omission")
         .when(F.col("kind").isin("closed", "mark", "group"), "complete")
-        .when(limit, "field limit")
         .when(formula & ~F.col("single"), "complete")
+        .when(limit, "field limit")
         .when(F.col("kind").isin("table", "cited"), "complete")
         .when((known == 0) & ~number, "unknown last word")
         .when((F.col("kind") == "list") | F.col("single"), F.when(rate < END_RATE, "open phrase").when(short & (F.col("kind") == "plain") & (rate < 0.2), "short of its length").otherwise("complete"))

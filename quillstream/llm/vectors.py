@@ -90,7 +90,7 @@ class Tree:
         out = s[:, self.lines[:, 0]]
         for d in range(1, self.lines.shape[1]):
             np.minimum(out, s[:, self.lines[:, d]], out=out)
-        return out
+        return out + 1e-5 * s[:, self.lines[:, -1]]  # leaves behind one node: the closest first
 
     def visit(self, q: np.ndarray, leaves: int) -> list[int]:
         """The first leaves of one query by an explicit priority queue."""
