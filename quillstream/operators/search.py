@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.citation import GROUPS, join_groups, range_start
 from quillstream.functions.text import title_chunks
+from quillstream.session import cut
 
 PAIRS = list(combinations(GROUPS, 2))
 
@@ -84,24 +86,18 @@ def ladder(citations: DataFrame, key: str, groups: str, raw: str) -> DataFrame:
     return asked.where(F.col("rung").isin(0, 9) | (F.col("query") != ""))
 
 
-def resolve(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
-    """key, pmid, rung, warning: the outcome of the ladder, given (query, hits, pmid) of every query.
-
-    A unique hit of the whole query wins. If that has several hits, only the citation as it is may still win. If
-    it has none, groups are left out one at a time, then two at a time unless one alone left several hits, then
-    single parts of those groups whose absence left several; the first unique hit wins, the citation as it is
-    comes last.
-    """
-    rows = asked.join(answers.withColumnRenamed("hits", "n"), "query", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def _opened(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """``asked`` with ``n`` (hits so far), ``hit``, the counts that decide, and ``open``: whether the ladder gets to the query."""
+    known = answers.select(F.col("query").alias("_q"), F.col("hits").alias("n"), F.col("pmid").alias("hit"))
+    rows = asked.join(known, F.col("query") == F.col("_q"), "left").drop("_q").withColumn("n", F.coalesce("n", F.lit(0)))
     several = lambda rung: F.collect_set(F.when((F.col("rung") == rung) & (F.col("n") >= 2), F.col("label")))
-    seen = rows.groupBy(key).agg(
+    seen = rows.groupBy(F.col(key).alias("_id")).agg(
         F.max(F.when(F.col("rung") == 0, F.col("n"))).alias("c0"),
         F.max(F.when(F.col("rung") == 9, F.col("n"))).alias("c9"),
         F.max(F.when(F.col("rung") == 0, F.col("query"))).alias("q0"),
         several(1).alias("s1"),
         several(2).alias("s2"),
     )
-    both = rows.join(seen, key)
     none, any1, any2 = F.col("c0") == 0, F.size("s1") > 0, F.size("s2") > 0
     open_ = (
         (F.col("rung") == 0)
@@ -110,7 +106,38 @@ def resolve(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
         | (F.col("rung") == 3) & none & F.when(any1, F.array_contains("s1", F.col("label"))).otherwise(F.array_contains("s2", F.col("label")))
         | (F.col("rung") == 9) & ((F.col("c0") >= 2) | none & (any1 | any2))
     )
-    won = both.where(open_ & (F.col("n") == 1) & (F.col("q0") != "")).groupBy(key).agg(F.min_by(F.struct("rung", "pmid"), F.struct("rung", "ord")).alias("w"))
+    return rows.join(seen, F.col(key) == F.col("_id")).drop("_id").withColumn("open", open_ & (F.col("q0") != ""))
+
+
+def resolve(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """key, pmid, rung, warning: the outcome of the ladder, given (query, hits, pmid) of every query.
+
+    A unique hit of the whole query wins. If that has several hits, only the citation as it is may still win. If
+    it has none, groups are left out one at a time, then two at a time unless one alone left several hits, then
+    single parts of those groups whose absence left several; the first unique hit wins, the citation as it is
+    comes last.
+    """
+    rows = _opened(asked, answers, key)
+    place = F.when(F.col("open") & (F.col("n") == 1), F.struct("rung", "ord"))
+    best = rows.groupBy(key).agg(F.min_by(F.struct("rung", "hit"), place).alias("w"), F.min(place).alias("won"), *[F.first(c).alias(c) for c in ("c0", "c9", "q0", "s1", "s2")])
+    doubtful = (F.size("s1") > 0) | (F.size("s2") > 0)
     said = lambda step: F.concat(F.lit(f"step {step}: unformatted returned "), F.col("c9").cast("string"))
-    warning = F.when(F.col("q0") == "", "empty query").when(F.col("c0") >= 2, said("0a")).when(none & (any1 | any2), said("3a")).otherwise("step 2: all returned 0")
-    return seen.join(won, key, "left").select(key, "w.pmid", F.col("w.rung").alias("rung"), F.when(F.col("w").isNull(), warning).alias("warning"))
+    warning = F.when(F.col("q0") == "", "empty query").when(F.col("c0") >= 2, said("0a")).when(doubtful, said("3a")).otherwise("step 2: all returned 0")
+    won = F.col("won").isNotNull()
+    return best.select(key, F.when(won, F.col("w.hit")).alias("pmid"), F.when(won, F.col("w.rung")).alias("rung"), F.when(~won, warning).alias("warning"))
+
+
+def climb(asked: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """``resolve`` against a service that should be asked as little as possible: rung after rung, only for what is still open.
+
+    ``ask`` answers a DataFrame of different queries with (query, hits, pmid).
+    """
+    answers = asked.sparkSession.createDataFrame([], "query string, hits long, pmid string")
+    for rung in (0, 1, 2, 3, 9):
+        rows = _opened(asked, answers, key)
+        done = rows.where(F.col("open") & (F.col("n") == 1)).select(key).distinct()
+        now = rows.where(F.col("open") & (F.col("rung") == rung)).join(done, key, "left_anti").select("query").distinct()
+        now = cut(now.join(answers.select("query"), "query", "left_anti"))
+        if not now.isEmpty():
+            answers = cut(answers.unionByName(ask(now).select("query", "hits", "pmid")))
+    return resolve(asked, answers, key)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,25 +39,22 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
     ``order`` get different positions in no defined order. An empty input gives an empty output; null keys are
     a group of their own.
     """
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_salt)
-    big = [r.asDict() for r in size.limit(10_000).collect()]
-    if not big:
-        w = _window(keys, order)
-        return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
-    parts = max(math.ceil(r["_n"] / per_salt) for r in big)
-    hot = F.lit(False)
-    for r in big:
-        hot = hot | F.forall(F.array(*[F.col(k).eqNullSafe(F.lit(r[k])) for k in keys]), lambda x: x)
-    salted = df.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(*order), F.lit(parts))).otherwise(F.lit(0)))
+    names = [f"_k{i}" for i in range(len(keys))]
+    at = lambda d: [F.col(k).alias(n) for k, n in zip(keys, names)]
+    on = lambda left: [left[k].eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    hot = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_salt).select(*at(df), F.ceil(F.col("_n") / per_salt).cast("int").alias("_parts")))
+    n_hot = hot.count()
+    if not n_hot:
+        return df.withColumn(name, F.row_number().over(_window(keys, order)).cast("long") - 1)
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*order), F.col("_parts"))).otherwise(0).cast("int")
+    salted = df.join(hot, on(df), "left").withColumn("_salt", salt).drop("_parts", *names)
     counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = _window(keys, [F.col("_salt")]).rowsBetween(-(2**31), -1)
-    shift = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    shift = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_shift > 0").select(*at(counts), F.col("_salt").alias("_s"), "_shift")
     ranked = salted.withColumn("_pos", F.row_number().over(_window([*keys, "_salt"], order)) - 1)
-    right = shift.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_salt").alias("_s"), "_shift")
-    on = F.col("_salt") == F.col("_s")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return ranked.join(right, on).withColumn(name, F.col("_pos") + F.col("_shift")).drop("_salt", "_s", "_shift", "_pos", *[f"_k{i}" for i in range(len(keys))])
+    both = ranked.join(shift, [*on(ranked), ranked["_salt"] == F.col("_s")], "left")
+    return both.withColumn(name, F.col("_pos") + F.coalesce("_shift", F.lit(0))).drop("_salt", "_s", "_shift", "_pos", *names)
 
 
 def _window(keys: list[str], order: list[Column]):
