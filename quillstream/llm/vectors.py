@@ -30,6 +30,8 @@ RECALL, PROBES = 0.93, 400
 BIN = 12_000
 #: A class of exact copies with more members than K + 1 is searched through its first K + 1.
 COPIES = K + 1
+#: Vectors whose similarities to all nodes are held at once.
+ROUTED = 2_048
 _SCALE = 32_000.0
 
 
@@ -250,9 +252,7 @@ def neighbours(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, n_visits, f, p, to = sent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (c for whole in batches for c in (whole.slice(i, ROUTED) for i in range(0, whole.num_rows, ROUTED))):
             ids, x = b.column(0).to_numpy(), unit(b.column(1))
             home = t.home(x)
             block = f[home] + np.abs(ids) % p[home]
