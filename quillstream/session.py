@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +16,25 @@ BROADCAST_ROWS = 200_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a folder that holds one Parquet file or folder for each table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context, unless they find it on ``PYTHONPATH``."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    there = any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))
+    if there or getattr(sc, "_quillstream_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="quillstream-")) / "quillstream.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "quillstream").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._quillstream_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder of ``spark.checkpoint.dir``; without that setting (tests) a temporary one."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
