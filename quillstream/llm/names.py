@@ -56,8 +56,10 @@ def formal(given: str, known: Trie) -> list[str]:
     return sorted(_FORMAL.get(given, {given}))
 
 
-def read_name(text: str, known: Trie) -> tuple[str, str, str, list[str]] | None:
-    """(surname, first initial, middle initials, full forms of the given name) of a typed name; None if it has no surname or no given name.
+def read_name(text: str, known: Trie) -> tuple[str, list[str], str, list[str]] | None:
+    """(surname, possible first initials, middle initials, full forms of the given name) of a typed name; None if it has no surname or no given name.
+
+    A nickname of several names (Ted) has the initials of all of them.
 
     Understands ``Surname AB``, ``Surname, Given M.``, ``Given M. Surname`` and ``A. B. Surname``, with titles,
     degrees and suffixes anywhere and in any case.
@@ -67,8 +69,11 @@ def read_name(text: str, known: Trie) -> tuple[str, str, str, list[str]] | None:
     words = lambda s: [w for w in re.split(r"[\s.]+|(?<=\.)", s.replace(".", ". ")) if w.strip(".'-,;")]
 
     def useful(ws: list[str]) -> list[str]:
-        kept = [w.strip(",;'") for w in ws if w.lower().strip(",;") not in TITLES]
-        while len(kept) > 2 and kept[-1].lower().strip(",;") in SUFFIXES or len(kept) == 2 and kept[-1].lower() in ("jr", "sr"):
+        kept = [w.strip(",;'") for w in ws]
+        # a title stands first and isn't all there is; capitals such as MS or JR behind a surname are initials
+        while len(kept) > 1 and kept[0].lower() in TITLES and (len(kept) > 2 or not kept[0].isupper()):
+            kept = kept[1:]
+        while len(kept) > 2 and kept[-1].lower() in SUFFIXES or len(kept) == 2 and kept[-1] in ("Jr", "Sr"):
             kept = kept[:-1]
         return kept
 
@@ -99,10 +104,9 @@ def read_name(text: str, known: Trie) -> tuple[str, str, str, list[str]] | None:
     first, rest = letters[0], letters[1:]
     if short(first) and not (len(first) > 1 and first.lower() in _FORMAL and not upper):
         initials = "".join(x for w in letters for x in (w.upper() if short(w) else w[0].upper()))
-        return surname, initials[0], initials[1:], []
+        return surname, [initials[0]], initials[1:], []
     full = formal(first.lower(), known)
-    initial = full[0][0].upper()
-    return surname, initial, "".join(w.upper() if short(w) else w[0].upper() for w in rest), full
+    return surname, sorted({f[0].upper() for f in full}), "".join(w.upper() if short(w) else w[0].upper() for w in rest), full
 
 
 def _org(word: str) -> str | None:
@@ -143,14 +147,14 @@ def read_unit(text: str, orgs: Trie) -> dict:
     return {"dept": " ".join(dept), "marked": marked, "inst": " ".join(inst or []), "spots": [s for s in spots if s], "loose": [s for s in loose if s]}
 
 
-NAME = "struct<surname:string,initial:string,middle:string,given:array<string>>"
+NAME = "struct<surname:string,initials:array<string>,middle:string,given:array<string>>"
 UNIT = "struct<dept:string,marked:boolean,inst:string,spots:array<string>,loose:array<string>>"
 
 
 def _read_names(texts: pd.Series) -> pd.DataFrame:
     known = Trie(sorted(_FORMAL))
     rows = [read_name(t, known) or (None, None, None, None) for t in texts]
-    return pd.DataFrame(rows, columns=["surname", "initial", "middle", "given"])
+    return pd.DataFrame(rows, columns=["surname", "initials", "middle", "given"])
 
 
 def _read_units(texts: pd.Series) -> pd.DataFrame:
@@ -172,6 +176,7 @@ def person_pairs(names: DataFrame, column: str = "name") -> DataFrame:
     names that agree with several persons are linked with each.
     """
     read = cut(_counted(names, column).select("name", "rows", F.pandas_udf(_read_names, NAME)("name").alias("p")).select("name", "rows", "p.*").where("surname is not null"))
+    read = read.withColumn("initial", F.explode("initials")).drop("initials")
     parts = cut(read.groupBy("initial", "surname").agg(F.sum("rows").alias("rows")))
     wrong = bases(parts, "initial", "surname", "rows", 1.0).select(F.col("kind").alias("initial"), F.col("text").alias("surname"), "base")
     base = read.join(wrong, ["initial", "surname"], "left").withColumn("base", F.coalesce("base", "surname")).drop("rows")
@@ -183,7 +188,7 @@ def person_pairs(names: DataFrame, column: str = "name") -> DataFrame:
         & ((F.col("middle_a") == "") | (F.col("middle_b") == "") | F.startswith("middle_a", "middle_b") | F.startswith("middle_b", "middle_a"))
         & (empty("given_a") | empty("given_b") | F.arrays_overlap("given_a", "given_b"))
     )
-    return a.join(b, ["initial", "base"]).where(agree).select("name_a", "name_b")
+    return a.join(b, ["initial", "base"]).where(agree).select("name_a", "name_b").distinct()
 
 
 def unit_pairs(units: DataFrame, column: str = "name") -> DataFrame:

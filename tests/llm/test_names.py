@@ -41,13 +41,16 @@ def test_bases(spark):
 
 def test_read_name():
     known = Trie(sorted(N._FORMAL))
-    want = ("smithson", "W", "", ["william"])
+    want = ("smithson", ["W"], "", ["william"])
     for t in ("William Smithson", "Smithson, Bill", "Smithson, Will", "Dr William Smithson", "Willima Smithson", "SMITHSON, WILLIAM", "William Smithson PhD"):
         assert N.read_name(t, known) == want, t
     for t in ("Smithson WB", "W. B. Smithson", "Smithson, W. B.", "Smithson W.B.", "SMITHSON WB", "Smithson WB Jr", "Smithson WB MD", "Smíthson WB"):
-        assert N.read_name(t, known) == ("smithson", "W", "B", []), t
-    assert N.read_name("William B. Smithson", known) == ("smithson", "W", "B", ["william"])
+        assert N.read_name(t, known) == ("smithson", ["W"], "B", []), t
+    assert N.read_name("William B. Smithson", known) == ("smithson", ["W"], "B", ["william"])
     assert N.read_name("Smith-Jones A", known)[0] == "smith-jones"
+    for t, first, middle in (("SMITHSON MS", "M", "S"), ("Smithson JR", "J", "R"), ("Smithson DR MD", "D", "R"), ("Dr M Smithson", "M", ""), ("Smithson M Jr", "M", "")):
+        assert N.read_name(t, known)[:3] == ("smithson", [first], middle), t
+    assert N.read_name("Ted Smithson", known)[1] == ["E", "T"]
     for t in ("Smithson", "", "12", "-"):
         assert N.read_name(t, known) is None or N.read_name(t, known)[0]
 
