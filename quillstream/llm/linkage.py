@@ -25,6 +25,8 @@ W_TITLE, W_NUMBERS, W_PRIOR, W_SAME = 3.0, 3.0, 0.35, 1.5
 ACCEPT = 0.5
 #: Pairs whose title similarity and agreement of numbers sum to less can't be accepted and aren't variables.
 PAIR_LEAST = 0.75
+#: Characters of the longest title whose letters are compared.
+LONGEST = 2_000
 #: Rounds of agreement between blocks, steps within a block, and rows of a block.
 ROUNDS, STEPS, BLOCK = 3, 300, 20_000
 #: Keys of a title: choices of three to five of its RAREST rarest words that BY_CHANCE titles at most would have in common if words were independent.
@@ -149,7 +151,9 @@ def features(pairs: DataFrame, works: DataFrame, papers: DataFrame) -> DataFrame
         (F.col("shared") >= 0.3) & (F.col("numbers").isNull() | (F.col("numbers") > 0.05) & (F.col("numbers") + F.when(F.col("shared") < 0.6, 0.5).otherwise(1.0) >= PAIR_LEAST))
     )
     p = cut(p.where(hopeful))
-    whole = {x: F.array_join(f"{x}_words", " ") for x in "cr"}
+    # of titles far longer than any title the words are compared, not the letters
+    long = F.greatest(*[F.length(F.array_join(f"{x}_words", " ")) for x in "cr"]) > LONGEST
+    whole = {x: F.when(long, "").otherwise(F.array_join(f"{x}_words", " ")) for x in "cr"}
     n_c, n_r = F.length(whole["c"]), F.length(whole["r"])
     short = F.least(n_c, n_r)
     # a word of one title without a counterpart in the other (but for a last word that may be cut) means another subject
@@ -159,10 +163,10 @@ def features(pairs: DataFrame, works: DataFrame, papers: DataFrame) -> DataFrame
     p = cut(
         p.select(
             "c", "r", "work", "numbers", "weight", "shared",
-            (F.levenshtein(whole["c"], whole["r"]) / F.greatest(n_c, n_r)).alias("apart"),
+            F.when(long, 1 - F.size(F.array_intersect("c_words", "r_words")) / F.greatest(F.size("c_words"), F.size("r_words"))).otherwise(F.levenshtein(whole["c"], whole["r"]) / F.greatest(n_c, n_r, F.lit(1))).alias("apart"),
             F.when(short >= 15, F.levenshtein(F.left(whole["c"], short), F.left(whole["r"], short)) / short + 0.04).otherwise(F.lit(1.0)).alias("apart_cut"),
-            alone("c", "r").alias("alone_c"),
-            alone("r", "c").alias("alone_r"),
+            F.when(long, 0).otherwise(alone("c", "r")).alias("alone_c"),
+            F.when(long, 0).otherwise(alone("r", "c")).alias("alone_r"),
         )
     )
     strange = F.least("alone_c", "alone_r")

@@ -14,6 +14,8 @@ from quillstream.session import cut
 
 #: Strings with fewer characters have no neighbours: one edit would make too much of them.
 LEAST = 5
+#: Longer strings are no names, and have none either.
+MOST = 200
 #: A shard with more strings is walked by several tasks.
 PER_TASK = 4_000
 #: A trie holds about so many strings at most; a larger shard has several.
@@ -68,11 +70,11 @@ def _parts(text: Column) -> Column:
 def neighbours(strings: DataFrame, kind: str, text: str) -> DataFrame:
     """Pairs (kind, a, b), both ways, of different strings of one ``kind`` that are one edit apart.
 
-    Null strings and those under ``LEAST`` characters have no neighbours; repeated strings count once. A shard
+    Null strings and those under ``LEAST`` or over ``MOST`` characters have no neighbours; repeated strings count once. A shard
     of n strings is walked by about n / ``PER_TASK`` tasks over tries of about ``PER_TRIE`` strings, so a hot
     beginning takes more tasks and not a longer one.
     """
-    rows = strings.select(F.col(kind).alias("kind"), F.col(text).alias("a")).where(F.length("a") >= LEAST).distinct()
+    rows = strings.select(F.col(kind).alias("kind"), F.col(text).alias("a")).where(F.length("a").between(LEAST, MOST)).distinct()
     keyed = rows.select("kind", "a", F.explode(_parts(F.col("a"))).alias("part"))
     sizes = keyed.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = cut(keyed.join(sizes, ["kind", "part"]))

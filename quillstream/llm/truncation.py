@@ -114,7 +114,7 @@ def _word_ends(docs: DataFrame) -> DataFrame:
 
     The last word of a text isn't counted, as it may be the one that was cut.
     """
-    token = docs.select(F.explode(F.split(F.regexp_replace("text", r"\s+\S*\s*$", ""), r"[^\S\n]+|(?<=\n)")).alias("t"))
+    token = docs.select(F.explode(F.split(F.regexp_replace("text", r"\s++\S*+\s*+$", ""), r"[^\S\n]+|(?<=\n)")).alias("t"))
     bare = F.lower(F.regexp_extract("t", r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)[^\p{L}\p{N}]*$", 1))
     ends = F.col("t").rlike(r"[.!?;][\"'”’»)\]]*\s*$|\n$")
     return token.select(bare.alias("_word"), ends.alias("e")).where("_word <> ''").groupBy("_word").agg(F.count(F.lit(1)).alias("n_word"), F.count_if("e").alias("n_ends"))

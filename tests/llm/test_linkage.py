@@ -38,6 +38,13 @@ def test_confidence_and_empty(spark):
     assert L.link(one, refs(spark).where("false")).count() == 0
 
 
+def test_very_long_titles(spark):
+    long = " ".join(f"word{i}" for i in range(20_000))
+    cited = spark.createDataFrame([(1, long, "1999", "1", "1-2"), (2, "x" * 100_000, "1990", "10", "100-110")], CITED)
+    got = L.link(cited, spark.createDataFrame([(1, "p", long, "1999", "1", "1-2"), (2, "q", "y" * 100_000, "1990", "10", "100-110")], REFS)).collect()
+    assert [(r.cite_id, r.pmid) for r in got] == [(1, "p")]
+
+
 def test_solver_keeps_the_constraint_and_finds_the_optimum():
     block = pd.DataFrame({"c": [1, 1, 2, 3], "r": [1, 2, 3, 4], "work": [1, 1, 2, 3], "title": [1.0, 1.0, 0.9, np.nan], "numbers": [1.0, 0.8, 1.0, 1.0], "weight": [3.8, 3.8, 3.8, 3.8], "shared": [np.nan] * 4})
     got = L._solve(block).set_index("r")["value"]

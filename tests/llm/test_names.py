@@ -62,6 +62,8 @@ def test_people(spark):
     assert ("Smithson WB", "Smithson, W. C.") not in got and ("Bill Smithson", "Walter Smithson") not in got
     assert all(a < b for a, b in got) and not any("Jonesson A" in p for p in got)
     assert N.person_pairs(spark.createDataFrame([], "name string")).count() == 0
+    long = [("x" * 50_000 + " AB",), ("x" * 50_000 + " A",), ("A" * 50_000,), ("Smith " * 9_000,)]
+    assert {(len(r.name_a), len(r.name_b)) for r in N.person_pairs(spark.createDataFrame(long, "name string")).collect()} == {(50_002, 50_003)}
 
 
 def test_units(spark):
