@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ARTICLE = "//PubmedArticle/MedlineCitation/Article"
 _INLINE = r"(?i)</?(?:i|b|u|em|strong|sup|sub|span|a)(?:\s[^>]*)?/?>"
+_TEXT = "struct<_VALUE:string>"
+#: The parts of a record that are read in one pass; titles and nested references, which need paths, are not among them.
+RECORD = (
+    f"MedlineCitation struct<PMID:{_TEXT},"
+    "Article:struct<Journal:struct<ISOAbbreviation:string,JournalIssue:struct<Volume:string,Issue:string,PubDate:struct<Year:string>>>,Pagination:struct<MedlinePgn:string>,"
+    "ELocationID:array<struct<_EIdType:string,_VALUE:string>>,Abstract:struct<AbstractText:array<struct<_Label:string,_VALUE:string>>>,"
+    "AuthorList:struct<Author:array<struct<LastName:string,Initials:string,AffiliationInfo:array<struct<Affiliation:string>>>>>,"
+    f"PublicationTypeList:struct<PublicationType:array<{_TEXT}>>>,KeywordList:array<struct<Keyword:array<{_TEXT}>>>>,"
+    "PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_IdType:string,_VALUE:string>>>>"
+)
 
 
 def clean(xml: Column) -> Column:
@@ -20,87 +29,106 @@ def is_record(xml: Column) -> Column:
     return F.coalesce(probe["PubmedArticle"]["MedlineCitation"].isNotNull(), F.lit(False))
 
 
-def _one(x: Column, path: str) -> Column:
-    return F.coalesce(F.xpath_string(x, F.lit(path)), F.lit(""))
-
-
-def _all(x: Column, path: str) -> Column:
-    return F.coalesce(F.xpath(x, F.lit(f"{path}/text()")), F.array().cast("array<string>"))
+def read(xml: Column) -> Column:
+    """The record (``RECORD``) of a cleaned text; markup inside texts is dropped."""
+    one = F.regexp_extract(F.regexp_replace(xml, _INLINE, ""), r"(?s)(<PubmedArticle[ >].*?</PubmedArticle>)", 1)
+    return F.from_xml(one, RECORD, {"ignoreSurroundingSpaces": "false"})
 
 
 def _flat(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
-def scalars(x: Column) -> dict[str, Column]:
-    """Journal, year, volume, issue, pages and title; missing ones are empty, markup inside the title is dropped."""
-    issue = f"{_ARTICLE}/Journal/JournalIssue"
+def _text(x: Column) -> Column:
+    return F.coalesce(x, F.lit(""))
+
+
+def _texts(array: Column) -> Column:
+    """The texts of elements that have one."""
+    return F.coalesce(F.filter(F.transform(array, lambda e: e["_VALUE"]), lambda t: _text(t) != ""), F.array().cast("array<string>"))
+
+
+def _last(array: Column, attribute: str, value: str) -> Column:
+    """The text of the last element with this attribute; empty if it has none or there is no such element."""
+    return _text(F.try_element_at(F.filter(array, lambda e: e[attribute] == value), F.lit(-1))["_VALUE"])
+
+
+def scalars(r: Column) -> dict[str, Column]:
+    """Journal, year, volume, issue and pages; missing ones are empty."""
+    a = r["MedlineCitation"]["Article"]
+    issue = a["Journal"]["JournalIssue"]
     return {
-        "journal": _one(x, f"{_ARTICLE}/Journal/ISOAbbreviation"),
-        "year": _one(x, f"{issue}/PubDate/Year"),
-        "volume": _one(x, f"{issue}/Volume"),
-        "issue": _one(x, f"{issue}/Issue"),
-        "pages": _one(x, f"{_ARTICLE}/Pagination/MedlinePgn"),
-        "title": _flat(_one(x, f"{_ARTICLE}/ArticleTitle")),
+        "journal": _text(a["Journal"]["ISOAbbreviation"]),
+        "year": _text(issue["PubDate"]["Year"]),
+        "volume": _text(issue["Volume"]),
+        "issue": _text(issue["Issue"]),
+        "pages": _text(a["Pagination"]["MedlinePgn"]),
     }
 
 
-def doi(x: Column) -> Column:
+def title(xml: Column) -> Column:
+    """The title with all nested text, by path."""
+    return _flat(_text(F.xpath_string(xml, F.lit("//PubmedArticle/MedlineCitation/Article/ArticleTitle"))))
+
+
+def references(xml: Column) -> Column:
+    """The pmids of all nested references, each once, in order, by path."""
+    found = F.xpath(xml, F.lit('//PubmedData//Reference//ArticleId[@IdType="pubmed"]/text()'))
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+
+
+def doi(r: Column) -> Column:
     """The link of the last doi of the article, else of the last one in the id list, else empty; a last one without text counts as none there."""
-    a = _one(x, f'{_ARTICLE}/ELocationID[@EIdType="doi"][last()]')
-    b = _one(x, '//PubmedData/ArticleIdList/ArticleId[@IdType="doi"][last()]')
+    a = _last(r["MedlineCitation"]["Article"]["ELocationID"], "_EIdType", "doi")
+    b = _last(r["PubmedData"]["ArticleIdList"]["ArticleId"], "_IdType", "doi")
     raw = F.when(a != "", a).otherwise(b)
     return F.when(raw != "", F.concat(F.lit("https://doi.org/"), raw)).otherwise("")
 
 
-def pmid(x: Column) -> Column:
+def pmid(r: Column) -> Column:
     """The last id of type pubmed, else the citation's own."""
-    listed = _one(x, '//PubmedData/ArticleIdList/ArticleId[@IdType="pubmed"][last()]')
-    return F.when(listed != "", listed).otherwise(_one(x, "//PubmedArticle/MedlineCitation/PMID"))
+    listed = _last(r["PubmedData"]["ArticleIdList"]["ArticleId"], "_IdType", "pubmed")
+    return F.when(listed != "", listed).otherwise(_text(r["MedlineCitation"]["PMID"]["_VALUE"]))
 
 
-def authors(x: Column) -> Column:
-    """array<struct<author, affiliation>> of the authors with a last name; collective names are dropped."""
-    schema = "MedlineCitation struct<Article:struct<AuthorList:struct<Author:array<struct<LastName:string,Initials:string,AffiliationInfo:array<struct<Affiliation:string>>>>>>>"
-    record = F.from_xml(F.regexp_extract(x, r"(?s)(<PubmedArticle[ >].*</PubmedArticle>)", 1), schema, {"ignoreSurroundingSpaces": "false"})
-    listed = F.filter(record["MedlineCitation"]["Article"]["AuthorList"]["Author"], lambda a: F.coalesce(a["LastName"], F.lit("")) != "")
+def _named(r: Column) -> Column:
+    """The authors with a last name; collective names are dropped."""
+    return F.filter(r["MedlineCitation"]["Article"]["AuthorList"]["Author"], lambda a: _text(a["LastName"]) != "")
+
+
+def authors(r: Column) -> Column:
+    """array<struct<author, affiliation>> of the named authors."""
     none = F.array().cast("array<string>")
     made = F.transform(
-        listed,
+        _named(r),
         lambda a: F.struct(
-            F.trim(F.concat_ws(" ", a["LastName"], F.coalesce(a["Initials"], F.lit("")))).alias("author"),
-            F.filter(F.coalesce(F.transform(a["AffiliationInfo"], lambda i: i["Affiliation"]), none), lambda t: F.coalesce(t, F.lit("")) != "").alias("affiliation"),
+            F.trim(F.concat_ws(" ", a["LastName"], _text(a["Initials"]))).alias("author"),
+            F.filter(F.coalesce(F.transform(a["AffiliationInfo"], lambda i: i["Affiliation"]), none), lambda t: _text(t) != "").alias("affiliation"),
         ),
     )
     return F.coalesce(made, F.array().cast("array<struct<author:string,affiliation:array<string>>>"))
 
 
-def last_names(x: Column) -> Column:
+def last_names(r: Column) -> Column:
     """Last names in order."""
-    return F.filter(_all(x, f"{_ARTICLE}//Author/LastName"), lambda n: n != "")
+    return F.coalesce(F.transform(_named(r), lambda a: a["LastName"]), F.array().cast("array<string>"))
 
 
-def abstract(x: Column) -> Column:
+def abstract(r: Column) -> Column:
     """The parts of the abstract joined by spaces, labelled ones with their label."""
-    part = "struct<_Label:string,_VALUE:string>"
-    record = F.from_xml(F.regexp_replace(F.regexp_extract(x, r"(?s)(<PubmedArticle[ >].*</PubmedArticle>)", 1), _INLINE, ""), f"MedlineCitation struct<Article:struct<Abstract:struct<AbstractText:array<{part}>>>>")
-    text = lambda a: _flat(F.coalesce(a["_VALUE"], F.lit("")))
-    lines = F.transform(record["MedlineCitation"]["Article"]["Abstract"]["AbstractText"], lambda a: F.when(F.coalesce(a["_Label"], F.lit("")) != "", F.concat(a["_Label"], F.lit(": "), text(a))).otherwise(text(a)))
-    return F.coalesce(F.array_join(lines, " "), F.lit(""))
+    text = lambda a: _flat(_text(a["_VALUE"]))
+    lines = F.transform(r["MedlineCitation"]["Article"]["Abstract"]["AbstractText"], lambda a: F.when(_text(a["_Label"]) != "", F.concat(a["_Label"], F.lit(": "), text(a))).otherwise(text(a)))
+    return _text(F.array_join(lines, " "))
 
 
-def keywords(x: Column) -> Column:
+def keywords(r: Column) -> Column:
     """The keywords of the first list only."""
-    return F.transform(_all(x, "(//PubmedArticle/MedlineCitation/KeywordList)[1]/Keyword"), _flat)
-
-
-def publication_types(x: Column) -> Column:
-    return _all(x, f"{_ARTICLE}//PublicationType")
+    first = F.try_element_at(r["MedlineCitation"]["KeywordList"], F.lit(1))
+    return F.transform(_texts(first["Keyword"]), _flat)
 
 
-def references(x: Column) -> Column:
-    """The pmids of all nested references, each once, in order."""
-    return F.array_distinct(_all(x, '//PubmedData//Reference//ArticleId[@IdType="pubmed"]'))
+def publication_types(r: Column) -> Column:
+    return _texts(r["MedlineCitation"]["Article"]["PublicationTypeList"]["PublicationType"])
 
 
 def is_kept(types: Column) -> Column:
@@ -111,13 +139,15 @@ def is_kept(types: Column) -> Column:
 def project(records: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     """Every record with the columns of the store and ``valid``; of texts that are no record only ``key`` and ``valid`` = false.
 
+    Each text is parsed once for all its fields, and once each by path for the title and the nested references.
     Null text isn't valid. Repeated records are projected alike.
     """
     from quillstream.functions.text import citation_key, short_authors
 
     rows = records.select(key, is_record(F.col(xml)).alias("valid"), clean(F.col(xml)).alias("_x"))
-    x = F.when(F.col("valid"), F.col("_x"))
-    fields = {"pmid": pmid(x), **scalars(x), "doi": doi(x), "abstract": abstract(x), "authors": authors(x), "publication_types": publication_types(x), "keywords": keywords(x), "reference_pmids": references(x)}
-    out = rows.select(key, "valid", *[F.when(F.col("valid"), c).alias(n) for n, c in fields.items()], F.when(F.col("valid"), short_authors(last_names(x))).alias("_short"))
+    rows = rows.select(key, "valid", F.when(F.col("valid"), F.col("_x")).alias("_x")).select(key, "valid", "_x", read(F.col("_x")).alias("_r"))
+    r, x = F.col("_r"), F.col("_x")
+    fields = {"pmid": pmid(r), **scalars(r), "title": title(x), "doi": doi(r), "abstract": abstract(r), "authors": authors(r), "publication_types": publication_types(r), "keywords": keywords(r), "reference_pmids": references(x)}
+    out = rows.select(key, "valid", *[F.when(F.col("valid"), c).alias(n) for n, c in fields.items()], F.when(F.col("valid"), short_authors(last_names(r))).alias("_short"))
     in_text = F.concat("_short", F.lit(" "), "year")
     return out.withColumn("citation_in_text", in_text).withColumn("citation_short", F.when(F.col("valid"), citation_key(F.col("citation_in_text"), F.col("journal"), F.col("pmid")))).drop("_short")
