@@ -241,9 +241,6 @@ def join_groups(spark, d):
     return g.select("ref_id", C.join_groups(F.col("groups"), ("authors",)).alias("no_authors"), C.join_groups(F.col("groups"), (), ("yvip", F.lit(0))).alias("no_year"))
 
 
-_TERMS = f"""{CUR}, post AS (SELECT DISTINCT pmid, unnest([CASE WHEN journal <> '' THEN journal || '[ta]' END, CASE WHEN year <> '' THEN year || '[dp]' END, CASE WHEN volume <> '' THEN volume || '[vi]' END]) AS term FROM cur)"""
-
-
 def _field_queries(store):
     """Two queries of each record: journal and year, and these with the volume."""
     some = store.where("journal <> '' and year <> '' and volume <> ''")
