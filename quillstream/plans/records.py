@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import xml as X
+from quillstream.plans.sql import LAST
 from quillstream.session import table
 
 QUERIES: dict = {}
@@ -166,7 +167,7 @@ def refs_export_json(spark, d):
     return r.select("pmid", F.to_json(body).alias("json"))
 
 
-@query()
+@query(f"WITH {LAST} SELECT nlmid, CAST(to_json(struct_pack(JournalTitle := journaltitle, MedAbbr := medabbr)) AS VARCHAR) AS json FROM cat")
 def journal_export(spark, d):
     """Each journal as the JSON of its file entry."""
     from quillstream.operators.journals import catalogue
