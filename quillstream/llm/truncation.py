@@ -13,15 +13,17 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.session import cut
 
 #: A limit is a length at which a source has at least so many unterminated texts, and so many times as many as at lengths nearby.
 LIMIT_LEAST, LIMIT_TIMES, NEAR = 4, 6.0, 12
-#: A short last line that closes at least so many different texts is a formula, and a word which ends a sentence at least so often can end a headline.
-FORMULA_LEAST, FORMULA_WORDS, END_RATE = 5, 4, 0.01
+#: A short last line is a formula if it closes at least so many different texts, and such a share of those that end as it does (the second where its last word is known and doesn't end sentences).
+FORMULA_LEAST, FORMULA_SHARE, FORMULA_SURE, FORMULA_WORDS = 5, 0.02, 0.2, 4
+#: A word which ends a sentence at least so often can end a headline or a formula.
+END_RATE = 0.01
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 _DELIM = re.compile(r"[()\[\]{}“”«»\n]|&(?:[A-Za-z]{1,8}|#\d{0,6})?$|<(?=/?[A-Za-z])[^<>]{0,80}$|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$")
@@ -99,8 +101,8 @@ def _endings(texts: pd.Series) -> pd.DataFrame:
 
 
 def _limits(rows: DataFrame, by: str) -> DataFrame:
-    """(source, length) at which a field limit shows: unterminated texts of one length far above the lengths nearby."""
-    n = rows.where(~F.col("kind").isin("closed", "empty") | F.col("open")).groupBy("source", by).agg(F.count(F.lit(1)).alias("n"))
+    """(source, length) at which a field limit shows: unterminated texts of one length, with different last lines, far above the lengths nearby."""
+    n = rows.where(~F.col("kind").isin("closed", "empty") | F.col("open")).groupBy("source", by).agg(F.count_distinct(F.xxhash64("last_line")).alias("n"))
     near = Window.partitionBy("source").orderBy(by).rangeBetween(-NEAR, NEAR)
     return (
         n.withColumn("around", (F.sum("n").over(near) - F.col("n")) / F.lit(2.0 * NEAR) + 0.3)
@@ -109,6 +111,20 @@ def _limits(rows: DataFrame, by: str) -> DataFrame:
     )
 
 
+def _formulas(rows: DataFrame, mark: Column) -> DataFrame:
+    """(_line, _mark, formula): the last lines that close many of the texts which end with a mark, or of those with a short open last line, and their share.
+
+    Cut ends repeat too when there are many texts, but no one of them is a large share of all ends. Texts at a field
+    limit prove nothing, and copies of one text count once.
+    """
+    short = ~F.col("single") & (F.size(F.split("last_line", " ")) <= FORMULA_WORDS)
+    ends = rows.where((mark | short) & F.col("last_word").isNotNull()).select(F.col("last_line").alias("_line"), mark.alias("_mark"), "h").distinct()
+    n = cut(ends.groupBy("_mark", "_line").agg(F.count(F.lit(1)).alias("n")))
+    every = n.groupBy("_mark").agg(F.sum("n").alias("every"))
+    share = n.join(F.broadcast(every), "_mark").where(F.col("n") >= FORMULA_LEAST).select("_line", "_mark", (F.col("n") / F.col("every")).alias("formula"))
+    return share.where(F.col("formula") >= FORMULA_SHARE)
+
+
 def _word_ends(docs: DataFrame) -> DataFrame:
     """For each word of all texts: how often it stands before the end of a sentence or line, and in all.
 
@@ -131,19 +147,20 @@ def detect(documents: DataFrame) -> DataFrame:
     read = docs.withColumn("_e", F.pandas_udf(_endings, ENDING)(F.coalesce("text", F.lit(""))))
     rows = cut(read.select("doc_id", "source", "n_chars", "_e.*", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("text").alias("h")))
     open_case = F.col("kind").isin("plain", "list", "table", "cited", "mark", "group")
-    # copies of one text count once
-    lines = rows.where(open_case).select(F.col("last_line").alias("_line"), "h").distinct().groupBy("_line").agg(F.count(F.lit(1)).alias("n_line"))
     headline = rows.where(F.col("single") & (F.col("kind") == "plain")).groupBy(F.col("last_word").alias("_head")).agg(F.count(F.lit(1)).alias("n_head"))
     words = _word_ends(docs).join(rows.where(open_case).select(F.col("last_word").alias("_word")).distinct(), "_word", "left_semi")
     for by in ("chars", "bytes"):
         at = _limits(rows, by)
         rows = rows.join(at, F.col("source").eqNullSafe(at["_src"]) & (F.col(by) == at["_len"]), "left").drop("_src", "_len")
-    rows = rows.join(lines, F.when(open_case, F.col("last_line")) == F.col("_line"), "left").join(words, F.when(open_case, F.col("last_word")) == F.col("_word"), "left")
-    rows = rows.join(headline, F.when(open_case, F.col("last_word")) == F.col("_head"), "left")
     limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
+    mark = F.col("kind") == "mark"
+    lines = _formulas(rows.where(open_case & ~limit), mark)
+    rows = rows.join(F.broadcast(lines), (F.when(open_case, F.col("last_line")) == F.col("_line")) & (mark == F.col("_mark")), "left").join(words, F.when(open_case, F.col("last_word")) == F.col("_word"), "left")
+    rows = rows.join(headline, F.when(open_case, F.col("last_word")) == F.col("_head"), "left")
     heads = F.greatest(F.coalesce("n_head", F.lit(0)) - 1, F.lit(0))
     known, rate = F.coalesce("n_word", F.lit(0)), F.coalesce((F.col("n_ends") + heads) / (F.col("n_word") + heads), F.lit(0.0))
-    formula = (F.coalesce("n_line", F.lit(0)) >= FORMULA_LEAST) & ((F.col("kind") == "mark") | (F.size(F.split("last_line", " ")) <= FORMULA_WORDS))
+    goes_on = ~mark & (known > 0) & (rate < END_RATE)
+    formula = F.coalesce("formula", F.lit(0.0)) >= F.when(goes_on, FORMULA_SURE).otherwise(FORMULA_SHARE)
     short = F.coalesce(F.col("n_chars") > F.col("chars") * 1.5, F.lit(False))
     number = F.col("last_word").rlike(r"^\d")
     reason = (
@@ -151,7 +168,7 @@ def detect(documents: DataFrame) -> DataFrame:
         .when(F.col("kind") == "broken", "broken sequence")
         .when(F.col("open"), "open bracket")
         .when(F.col("kind") == "dangling", "open phrase")
-        .when((F.col("kind") == "mark") & ~formula & (limit | (known == 0) | (rate < END_RATE)), "mark of omission")
+        .when(mark & ~formula & (limit | (known == 0) | (rate < END_RATE)), "mark of omission")
         .when(F.col("kind").isin("closed", "mark", "group"), "complete")
         .when(formula & ~F.col("single"), "complete")
         .when(limit, "field limit")

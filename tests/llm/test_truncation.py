@@ -31,3 +31,18 @@ def test_detect(spark):
     per = {r.source: (r.texts, r.truncated) for r in T.by_source(df).collect()}
     assert per["b"] == (20, 20) and per[None] == (1, 1)
     assert T.detect(df.where("false")).count() == 0
+
+
+def test_repeated_cut_ends_are_no_formulas(spark):
+    full = "The clinic {0} was seen in the hazard of the end. Notably, the hazard of the end was good. In {0} cases the dose was good."
+    rows = [(i, "a", None, full.format(i)) for i in range(100)]
+    # short ends that repeat because there are many texts, with a formula beside them
+    rows += [(1000 + i, "a", None, f"The clinic {i:05} was seen.\n" + "so " * (i % 37) + "on.\nThe editors") for i in range(300)]
+    rows += [(2000 + i, "a", None, f"The clinic {i} was seen.{' Good.' * i}\nNotably, the hazard") for i in range(12)]
+    rows += [(3000 + i, "a", None, f"The clinic {i} was seen.{' Good.' * i}\nIn a sensitiv") for i in range(5)]
+    # the same of ends with a mark
+    rows += [(4000 + i, "b", None, f"The clinic {i} was seen.{' Good.' * i}\nAnd so the question stays open...") for i in range(300)]
+    rows += [(5000 + i, "b", None, f"The clinic {i} was seen.{' Good.' * i} The ...") for i in range(5)] + [(6000 + i, "b", None, f"The clinic {i} was seen.{' Good.' * i} ...") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, text string")
+    found = {r.doc_id for r in T.detect(df).where("truncated").collect()}
+    assert found == {*range(2000, 2012), *range(3000, 3005), *range(5000, 5005), *range(6000, 6005)}
