@@ -1,7 +1,7 @@
 """Text of scanned pages repaired into continuous paragraphs (problem 5).
 
 Method: the lines of a page are told apart from what belongs to the page only (running headers and footers, page
-numbers). A lexicon of word frequencies over all texts is indexed by symmetric deletes; a rare word that an edit
+numbers). A lexicon of word frequencies over all texts is indexed by symmetric deletes and by confusions; a rare word that an edit
 with confused characters turns into a frequent one is a misreading, and where several repairs are possible the
 word before it decides. The lexicon also decides whether a hyphen at a line end divides a word.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ CONFUSED = (
     ("0", "o"), ("o", "0"), ("1", "l"), ("l", "1"), ("1", "i"), ("i", "1"), ("5", "s"), ("s", "5"), ("8", "b"), ("b", "8"), ("6", "g"), ("9", "g"), ("2", "z"), ("z", "2"), ("3", "e"), ("4", "a"), ("7", "t"), ("@", "a"), ("$", "s"), ("€", "e"), ("!", "l"), ("|", "l"), ("!", "i"), ("|", "i"), ("¢", "c"),
     ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("l", "t"), ("t", "l"), ("h", "b"), ("b", "h"), ("n", "u"), ("u", "n"), ("v", "y"), ("y", "v"), ("o", "c"), ("c", "o"), ("a", "o"), ("o", "a"), ("e", "o"), ("o", "e"), ("n", "ri"), ("u", "ii"), ("h", "li"), ("w", "vv"), ("q", "g"), ("g", "q"), ("i", "j"), ("j", "i"), ("f", "l"), ("r", "t"), ("rn", "nn"), ("x", "z"),
 )
+#: What a confusion, a lost diacritic and any other edit cost, and what a misreading costs at most: two confusions, one and one diacritic, or three diacritics.
+CONFUSION, DIACRITIC, EDIT, COST_MOST = 0.3, 0.2, 1.0, 0.65
 #: A misreading has at most SLACK rows and one for each SHARE rows of the word meant, and that word TIMES as many.
 SLACK, SHARE, TIMES = 2, 60, 4
 #: Lines longer than this aren't lines of a page.
@@ -311,27 +314,31 @@ def cost(read: str, meant: str) -> float:
             if d >= 2.0:
                 continue
             if i < n and j < m:
-                c = 0.0 if read[i] == meant[j] else 0.2 if fold(read[i]) == meant[j] else 1.0
+                c = 0.0 if read[i] == meant[j] else DIACRITIC if fold(read[i]) == meant[j] else EDIT
                 best[i + 1][j + 1] = min(best[i + 1][j + 1], d + c)
             if i < n:
-                best[i + 1][j] = min(best[i + 1][j], d + 1.0)
+                best[i + 1][j] = min(best[i + 1][j], d + EDIT)
             if j < m:
-                best[i][j + 1] = min(best[i][j + 1], d + 1.0)
+                best[i][j + 1] = min(best[i][j + 1], d + EDIT)
             for a, b in pairs.get(read[i], ()) if i < n else ():
                 if read.startswith(a, i) and meant.startswith(b, j):
                     x, y = i + len(a), j + len(b)
-                    best[x][y] = min(best[x][y], d + 0.3)
+                    best[x][y] = min(best[x][y], d + CONFUSION)
     return best[n][m]
 
 
-_TABLE: dict[str, list[tuple[str, str]]] = {}
+_TABLE: dict[bool, dict[str, list[tuple[str, str]]]] = {}
 
 
-def _pairs() -> dict[str, list[tuple[str, str]]]:
-    if not _TABLE:
+def _pairs(back: bool = False) -> dict[str, list[tuple[str, str]]]:
+    """The confusions by the first character of what is read (``back``: of what is meant)."""
+    if back not in _TABLE:
+        table: dict[str, list[tuple[str, str]]] = {}
         for a, b in CONFUSED:
-            _TABLE.setdefault(a[0], []).append((a, b))
-    return _TABLE
+            a, b = (b, a) if back else (a, b)
+            table.setdefault(a[0], []).append((a, b))
+        _TABLE[back] = table
+    return _TABLE[back]
 
 
 def _deletes(word: Column, most: int) -> Column:
@@ -344,6 +351,29 @@ def _deletes(word: Column, most: int) -> Column:
     return F.array_distinct(out)
 
 
+def read_forms(word: str) -> list[str]:
+    """What is meant if ``word`` has one confusion or up to three diacritics too many, and the word itself."""
+    out = {word} | _confused(word, _pairs())
+    bare = {i: c for i, x in enumerate(word) if len(c := fold(x)) == 1 and c != x}
+    for n in (1, 2, 3):
+        for at in combinations(bare, n):
+            out.add("".join(bare[i] if i in at else x for i, x in enumerate(word)))
+    return sorted(out)
+
+
+def meant_forms(word: str) -> list[str]:
+    """How ``word`` is read with one confusion, and the word itself.
+
+    The edits of a pair don't overlap, so each pair within ``COST_MOST`` has one of these in common with ``read_forms``:
+    the first confusion, or the diacritics, is undone there and the other confusion made here.
+    """
+    return sorted({word} | _confused(word, _pairs(back=True)))
+
+
+def _confused(word: str, pairs: dict[str, list[tuple[str, str]]]) -> set[str]:
+    return {word[:i] + b + word[i + len(a) :] for i, x in enumerate(word) for a, b in pairs.get(x, ()) if word.startswith(a, i)}
+
+
 def _only(rows: DataFrame, words: DataFrame) -> DataFrame:
     """The rows whose ``word`` is in ``words``."""
     return rows.join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "word", "left_semi")
@@ -357,14 +387,17 @@ def corrections(counts: DataFrame, tokens: DataFrame) -> DataFrame:
     one that stands more often after the same words wins, then the more frequent one.
     """
     words = counts.where(F.length("word").between(4, 40) & F.col("word").rlike(r"\p{L}") & ~F.col("word").contains("-"))
-    frequent = words.where(F.col("n") >= TIMES).select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.explode(_deletes(F.col("word"), 1)).alias("key"))
-    rare = words.select("word", "n", F.explode(_deletes(F.col("word"), 2)).alias("key"))
+    forms = lambda f: F.pandas_udf(lambda w: w.map(f), "array<string>")("word")
+    # deletes alone miss pairs of confusions, and those with a longer word meant
+    meant_keys, read_keys = (F.array_distinct(F.concat(_deletes(F.col("word"), d), forms(f))) for d, f in ((1, meant_forms), (2, read_forms)))
+    frequent = words.where(F.col("n") >= TIMES).select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.explode(meant_keys).alias("key"))
+    rare = words.select("word", "n", F.explode(read_keys).alias("key"))
     odd = F.col("word").rlike(r"[\p{L}][0-9@$€!|¢]+\p{Ll}|^[0-9@$€!|¢]\p{Ll}{2}|[^\x00-\x7f]")
-    near = rare.join(frequent, "key").where((F.col("word") != F.col("meant")) & (F.abs(F.length("word") - F.length("meant")) <= 1))
+    near = rare.join(frequent, "key").where((F.col("word") != F.col("meant")) & (F.abs(F.length("word") - F.length("meant")) <= 2))
     near = near.where((F.col("n_meant") >= TIMES * F.col("n")) & ((F.col("n") <= SLACK + F.col("n_meant") / SHARE) | odd & (F.col("n") <= SLACK + F.col("n_meant") / 4)))
     near = near.select("word", "meant", "n", "n_meant").distinct()
     weigh = F.pandas_udf(lambda a, b: pd.Series([cost(x, y) for x, y in zip(a, b)], dtype="float64"), "double")
-    near = cut(cut(near).withColumn("cost", weigh("word", "meant")).where("cost <= 0.65"))
+    near = cut(cut(near).withColumn("cost", weigh("word", "meant")).where(F.col("cost") <= COST_MOST))
     asked = cut(near.select("word").union(near.select("meant")).distinct())
     pairs = cut(_only(tokens, asked).where("before is not null").groupBy("before", "word").agg(F.count(F.lit(1)).alias("n")))
     context = pairs.join(near.select("word").distinct(), "word", "left_semi").select("before", "word", F.col("n").alias("times"))

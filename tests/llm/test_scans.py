@@ -69,3 +69,13 @@ def test_cost():
     assert S.cost("srnall", "small") == S.cost("weighf", "weight") == S.cost("m0nths", "months") == 0.3
     assert S.cost("whích", "which") == 0.2 and S.cost("same", "same") == 0
     assert S.cost("house", "mouse") >= 1
+
+
+def test_corrections_of_every_pair_within_the_cost(spark):
+    pairs = {"intemal": "internal", "undear": "unclear", "musde": "muscle", "westem": "western", "govemrnent": "government", "hosqitol": None, "rnodem": "modern", "rneasvrernent": None, "rneasurernent": "measurement", "hespitol": "hospital", "whích": "which", "ínternai": "internal", "rnúscle": "muscle"}
+    known = {"internal", "unclear", "muscle", "western", "government", "modern", "which", "hospital", "measurement"}
+    counts = spark.createDataFrame([(w, 400) for w in known] + [(w, 1) for w in pairs], "word string, n long")
+    got = {r.word: r.meant for r in S.corrections(counts, spark.createDataFrame([], "before string, word string")).collect()}
+    assert got == {w: m for w, m in pairs.items() if m}
+    assert all((S.cost(w, m) <= S.COST_MOST) == (pairs[w] == m) for w in pairs for m in known)
+    assert all(set(S.read_forms(w)) & set(S.meant_forms(m)) for w, m in pairs.items() if m)
