@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillstream.llm import canonical as C
-from quillstream.llm.edit import BKTree, fold, levenshtein
+from quillstream.llm.edit import BKTree, Texts, distance, fold, levenshtein
 
 
 def plain(a, b):
@@ -22,6 +23,13 @@ def test_levenshtein(a, b, most):
     assert min(levenshtein(a, b, most), most + 1) == min(plain(a, b), most + 1)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcé", max_size=80), min_size=9, max_size=14), st.text("abcé", max_size=70))
+def test_bit_vectors(texts, word):
+    assert [distance(word, t) for t in texts] == [plain(word, t) for t in texts]
+    assert list(Texts(texts).distances(word, np.arange(len(texts)))) == [plain(word, t) for t in texts]
+
+
 def test_tree_finds_all():
     rng = random.Random(1)
     words = {"".join(rng.choices("abcd", k=rng.randint(1, 8))) for _ in range(400)}
@@ -29,7 +37,9 @@ def test_tree_finds_all():
     for _ in range(60):
         q, r = "".join(rng.choices("abcd", k=rng.randint(0, 8))), rng.randint(0, 3)
         assert tree.within(q, r) == sorted((plain(q, w), w) for w in words if plain(q, w) <= r)
-    assert BKTree().within("x", 3) == []
+    radius = {"".join(rng.choices("abcd", k=rng.randint(0, 8))): rng.randint(0, 3) for _ in range(60)}
+    assert sorted(tree.within_many(radius)) == sorted((q, w, plain(q, w)) for q, r in radius.items() for w in words if plain(q, w) <= r)
+    assert BKTree().within("x", 3) == [] and BKTree().within_many({"x": 3}) == [] and tree.within_many({}) == []
     assert fold("Ínstitut ﬁn Ünıversität ß") == "Institut fin Unıversitat ss"
 
 
@@ -67,6 +77,18 @@ def test_match(spark):
     assert C.match(values.where("false"), "j", entries, "nlmid", "title", "abbr").count() == 0
 
 
+def test_shards_give_the_same_answers(spark):
+    """Ties, beginnings and initials are settled over all shards, whatever the shards are."""
+    heads, fields = ["Proceedings in", "Annals of", "Letters in"], ["Physiology", "Surgery", "Toxicology"]
+    rng = random.Random(3)
+    names = [f"{h} {''.join(rng.choices('bcdfgaeiou', k=6)).title()} {f}" for h in heads for f in fields for _ in range(6)]
+    entries = spark.createDataFrame([(str(i), n, None) for i, n in enumerate(names)], "i string, t string, a string")
+    typed = [n[:-3] for n in names] + [n.replace("i", "", 1) for n in names] + ["".join(w[0] for w in n.split() if w not in ("in", "of")).upper() for n in names] + ["Annals of", "Proceedings"]
+    values = spark.createDataFrame([(v,) for v in typed], "j string")
+    one, many = ({(r.value, r.entry, r.distance) for r in C.match(values, "j", entries, "i", "t", "a", n).collect()} for n in (20_000, 7))
+    assert one == many and sum(e is not None for _, e, _ in one) >= 2 * len(names)
+
+
 def test_ties_are_unmatched(spark):
     entries = spark.createDataFrame([("1", "Acta Abcdefgha", None), ("2", "Acta Abcdefghc", None)], "i string, t string, a string")
     got = C.match(spark.createDataFrame([("Acta Abcdefghb",), ("Acta Abcdefgha",)], "j string"), "j", entries, "i", "t", "a")
