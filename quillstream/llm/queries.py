@@ -71,6 +71,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_linked(spark, d).select("pmid", "cite_id").distinct()
 
 
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The recall of the candidates against brute force."""
+    return linkage.recall(table(spark, d, "cited_works"), table(spark, d, "refs"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of spellings of one author or one organisational unit."""
     return names.variant_pairs(table(spark, d, "refs")).distinct()
@@ -109,7 +114,7 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_linked": p6_linked, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_linked": p6_linked, "p6_recall": p6_recall, "p7_found": p7_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source, "p3_found": p3_found, "p3_pieces": p3_pieces}
 
 _ITEMS = "SELECT 'papers' AS origin, paper_id AS item_id, full_text AS t FROM papers UNION ALL SELECT 'refs', ref_id, abstract FROM refs"
 ORACLES = {"p3_found": rf"SELECT origin, item_id FROM ({_ITEMS}) WHERE len(regexp_extract_all(t, '[^ \t\n\r\f]+')) > 400"}
