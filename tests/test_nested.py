@@ -61,15 +61,48 @@ def test_flatten_keeps_links(spark):
     df = spark.createDataFrame([(7, [([("p", [1, 2])], "o1"), (None, "o2")])], "id long, a array<struct<b:array<struct<n:string,c:array<int>>>,o:string>>")
     t = nested.flatten(df, "id")
     assert set(t) == {"a", "a.b", "a.b.c"}
-    assert [tuple(r) for r in t["a"].orderBy("a_pos").collect()] == [(7, 1, "o1"), (7, 2, "o2")]
-    assert [tuple(r) for r in t["a.b.c"].orderBy("a_b_c_pos").collect()] == [(7, 1, 1, 1, 1), (7, 1, 1, 2, 2)]
+    assert [tuple(r) for r in t["a"].drop("row_id", "parent_id").orderBy("a_pos").collect()] == [(7, 1, "o1"), (7, 2, "o2")]
+    assert [tuple(r) for r in t["a.b.c"].drop("row_id", "parent_id").orderBy("a_b_c_pos").collect()] == [(7, 1, 1, 1, 1), (7, 1, 1, 2, 2)]
+
+
+def test_surrogate_keys_lead_to_parents(spark):
+    df = spark.createDataFrame([(7, [([("p", [1, 2])], "o1"), ([("q", [3])], "o2")]), (8, [([("p", [])], "o1")])], "id long, a array<struct<b:array<struct<n:string,c:array<int>>>,o:string>>")
+    t = nested.flatten(df, "id")
+    ids = {n: [r.row_id for r in x.collect()] for n, x in t.items()}
+    assert all(len(set(v)) == len(v) for v in ids.values()) and len({x for v in ids.values() for x in v}) == 3 + 3 + 3
+    assert {r.parent_id for r in t["a.b.c"].collect()} <= set(ids["a.b"]) and {r.parent_id for r in t["a.b"].collect()} == set(ids["a"])
+    assert {r.parent_id for r in t["a"].collect()} == {"7", "8"}
 
 
 def test_merged_schema(spark):
-    df = spark.createDataFrame([(1, '{"1": {"title": "a", "authors": [{"author": "x"}]}}'), (2, '{"title": 3, "authors": {"author": "x"}}'), (3, "no")], RAW)
-    s = nested.merged_schema(df, "payload")
-    assert "authors: VARIANT" in s and "`1`" not in s
-    assert nested.merged_schema(df.where("rec_id = 3"), "payload") == "VOID"
+    df = spark.createDataFrame([(1, '{"1": {"title": "a", "authors": [{"author": "x"}]}}'), (2, '{"title": "3", "authors": {"author": "x", "affiliation": ["u", {"name": "n"}]}}'), (3, "no"), (4, '{"title": "b", "authors": null, "keywords": [["a"], "b"]}')], RAW)
+    got = nested.merged_schema(df, "payload")
+    assert got.simpleString() == "struct<title:string,authors:array<struct<author:string,affiliation:array<struct<name:string,value:string>>>>,keywords:array<struct<value:string,items:array<string>>>>"
+    assert nested.infer(df.where("rec_id = 3"), "payload") == {} == nested.infer(df.where("false"), "payload")
+
+
+def test_fields_nobody_knew_are_kept(spark):
+    """A new nested field, at two depths and with one element in place of a list, becomes a table that leads to its author."""
+    rec = {"title": "t", "authors": [{"author": " "}, {"author": "A", "grants": [{"agency": "X", "years": [1, "2001"]}, {"agency": "Y", "years": "2002"}]}, {"author": "B", "grants": {"agency": "Z"}, "orcid": "0-1"}]}
+    refs = spark.createDataFrame([(5, [("C", ["u"])], [], [], "t")], REFS)
+    t = nested.child_tables(refs, spark.createDataFrame([(1, json.dumps(rec)), (2, "{")], RAW))
+    assert {"authors", "authors.affiliation", "authors.grants", "authors.grants.years", "keywords", "publication_types"} <= set(t)
+    assert sorted((r.rec_id, r.authors_pos, r.authors_grants_pos, r.agency) for r in t["authors.grants"].collect()) == [(1, 1, 1, "X"), (1, 1, 2, "Y"), (1, 2, 1, "Z")]
+    assert sorted((r.authors_grants_pos, r.value) for r in t["authors.grants.years"].where("value is not null").collect()) == [(1, "2001"), (2, "2002")]
+    assert sorted((r.origin, r.author, r.orcid) for r in t["authors"].collect()) == [("raw_records", "A", None), ("raw_records", "B", "0-1"), ("refs", "C", None)]
+    up = t["authors"].select(F.col("row_id").alias("parent_id"))
+    assert t["authors.grants"].join(up, "parent_id", "left_anti").count() == 0
+
+
+def test_tables_and_single_pass_agree(spark):
+    """``children`` in one pass has the rows of the tables of ``flatten``."""
+    rec = {"authors": [{"author": "A", "affiliation": ["x", {"name": "y"}, " "]}, "B"], "keywords": [["a", "b"], {"terms": ["c"]}, "d"], "publication_types": "P"}
+    refs = spark.createDataFrame([(1, [("C", ["u", None]), (None, ["lost"])], ["T"], ["k"], "t")], REFS)
+    raw = spark.createDataFrame([(1, json.dumps(rec)), (1, json.dumps(rec)), (2, json.dumps({"9": rec}))], RAW)
+    t = nested.child_tables(refs, raw)
+    value = {"authors": "author", "authors.affiliation": "name"}
+    tables = sorted((r.origin, r.rec_id, k, r.authors_pos if n == "authors.affiliation" else 0, r[n.replace(".", "_") + "_pos"], r[value.get(n, "value")]) for n, k in nested.KINDS.items() for r in t[n].collect())
+    assert tables == rows(nested.children(refs, raw)) and len(tables) == 4 + 3 * 9
 
 
 def test_blank_matches_white_space(spark):
