@@ -1,7 +1,7 @@
 """The most similar vectors of every vector, within a calibrated loss (problem 4).
 
 Method: hierarchical k-means tree with best-bin-first search. The tree is fitted on a bounded sample; every vector
-is indexed in the leaf it falls into and searched in the leaves that a priority queue would visit first. How many
+is indexed in the leaf it falls into and searched in the leaves that a priority queue visits first. How many
 leaves that takes is calibrated: a sample of vectors is compared with all others, and the visits are widened until
 the wanted share of true neighbours lies in the visited leaves. Leaves are stored in bins of neighbouring leaves,
 so that a vector travels to the few bins that hold its leaves, and once to each.
@@ -30,8 +30,10 @@ RECALL, PROBES = 0.93, 400
 BIN = 12_000
 #: A class of exact copies with more members than K + 1 is searched through its first K + 1.
 COPIES = K + 1
-#: Vectors whose similarities to all nodes are held at once.
-ROUTED = 2_048
+#: Vectors that go down the tree together, and vectors of the sample with which the work of bins is estimated.
+ROUTED, PLANNED = 8_192, 8_192
+#: Vectors that ask in one slot, and MB that a task reads.
+ASKS, TASK_MB = 12_000, 48
 _SCALE = 32_000.0
 
 
@@ -81,31 +83,57 @@ class Tree:
         self.nodes = np.array(self.centres, np.float32)
         deep = max(map(len, self.paths))
         self.lines = np.array([[*p, *[p[-1]] * (deep - len(p))] for p in self.paths])
-
-    def order(self, q: np.ndarray) -> np.ndarray:
-        """For each query the priority with which best-bin-first reaches each leaf.
-
-        A queue that always opens the closest node visits the leaves by the least similarity on their way, so the
-        whole order follows from the similarities to all nodes, without a queue for each query (``visit`` has it).
+        self.tops = sorted({p[0] for p in self.paths})
+        #: For each branch at the top its nodes, the ways of its leaves in them, and the leaves.
+        self.below = []
+        for top in self.tops:
+            own = np.array([i for i, p in enumerate(self.paths) if p[0] == top])
+            nodes, lines = np.unique(self.lines[own], return_inverse=True)
+            self.below.append((nodes, lines.reshape(len(own), -1), own.astype(np.int32)))
+
+    def reach(self, q: np.ndarray, leaves: int) -> np.ndarray:
+        """For each query the leaves that best-bin-first visits, in the order of the visits.
+
+        The queue of a query holds the branches at the top by similarity and the leaves found below the branches opened so far by the
+        least similarity on their way. It opens its next branch as long as that could hold a leaf better than the last
+        one wanted; the branches behind it are never compared. Queries that open the same branch are compared with its nodes together.
         """
-        s = q @ self.nodes.T
-        out = s[:, self.lines[:, 0]]
-        for d in range(1, self.lines.shape[1]):
-            np.minimum(out, s[:, self.lines[:, d]], out=out)
-        return out + 1e-5 * s[:, self.lines[:, -1]]  # leaves behind one node: the closest first
+        leaves = min(leaves, len(self.paths))
+        best, names = np.full((len(q), leaves), -9.0, np.float32), np.zeros((len(q), leaves), np.int32)
+        s = q @ self.nodes[self.tops].T
+        turn = np.argsort(-s, axis=1, kind="stable")
+        live = np.arange(len(q))
+        for r in range(len(self.tops)):
+            branch = turn[live, r]
+            sim = s[live, branch]
+            open_ = sim + 1e-5 > best[live, -1]
+            live, branch, sim = live[open_], branch[open_], sim[open_]
+            if not len(live):
+                break
+            by = np.argsort(branch, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(branch[by])) + 1):
+                top, rows = branch[part[0]], live[part]
+                under, lines, own = self.below[top]
+                inner = q[rows] @ self.nodes[under].T
+                way = np.repeat(sim[part][:, None], len(own), axis=1)
+                for d in range(lines.shape[1]):
+                    np.minimum(way, inner[:, lines[:, d]], out=way)
+                way += 1e-5 * inner[:, lines[:, -1]]  # leaves behind one node: the closest first
+                all_p, all_n = np.concatenate([best[rows], way], 1), np.concatenate([names[rows], np.broadcast_to(own, way.shape)], 1)
+                first = np.argsort(-all_p, axis=1, kind="stable")[:, :leaves]
+                best[rows], names[rows] = np.take_along_axis(all_p, first, 1), np.take_along_axis(all_n, first, 1)
+        return names
 
     def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves of one query by an explicit priority queue."""
+        """The first leaves of one query by a heap over all nodes, against which ``reach`` is tested."""
         under: dict[int, set[int]] = {}
         ends: dict[int, int] = {}
-        tops: set[int] = set()
         for i, p in enumerate(self.paths):
-            tops.add(p[0])
             for a, b in zip(p, p[1:]):
                 under.setdefault(a, set()).add(b)
             ends[p[-1]] = i
         s = self.nodes @ q
-        queue, out = [(-s[n], n) for n in tops], []
+        queue, out = [(-s[n], n) for n in self.tops], []
         heapq.heapify(queue)
         while queue and len(out) < leaves:
             _, n = heapq.heappop(queue)
@@ -207,17 +235,54 @@ def fit(vectors: DataFrame, id_: str, vector: str, recall: float = RECALL) -> tu
     ids, x = got.column(0).to_numpy(), unit(got.column(1))
     first = np.argsort(ids)
     ids, x = ids[first], x[first]
-    tree = Tree(x, max(rows, len(x)))
-    pick = np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(int)
+    # the probes take no part in fitting the tree, so that what is measured with them holds for other vectors
+    pick = np.linspace(0, len(x) - 1, min(PROBES, len(x) // 2)).astype(int) if len(x) > 1 else np.zeros(1, int)
+    rest = np.delete(x, pick, axis=0)
+    tree = Tree(rest if len(rest) else x, max(rows, len(x)))
     truth = exact(vectors, id_, vector, (ids[pick], x[pick]), K, tree).select("q", "leaf").toPandas()
-    order = tree.order(x[pick])
-    rank = np.argsort(np.argsort(-order, axis=1), axis=1)
+    rank = np.argsort(tree.reach(x[pick], len(tree.paths)), axis=1)
     at = {int(i): n for n, i in enumerate(ids[pick])}
     ranks = np.array([rank[at[q], leaf] for q, leaf in zip(truth["q"], truth["leaf"])]) if len(truth) else np.array([0])
     visits = next((v for v in range(1, len(tree.paths) + 1) if (ranks < v).mean() >= recall), len(tree.paths))
+    tree.sample = rest[:: max(1, len(rest) // PLANNED)] if len(rest) else x
     return tree, visits, float((ranks < visits).mean())
 
 
+class Slots:
+    """Where the blocks of leaves and the vectors that ask for them meet.
+
+    A block lies in a bin of at most about BIN members. The vectors that ask for a bin are divided into as many slots as their
+    number, estimated from the sample, requires, each with a copy of the members; slots are dealt to tasks of equal work.
+    """
+
+    def __init__(self, tree: Tree, visits: int, rows: int, parallel: int) -> None:
+        self.first, self.parts, self.bins = _blocks(tree)
+        n_bins = int(self.bins.max()) + 1
+        each = rows / max(1, len(tree.sample))
+        seen = tree.reach(tree.sample, visits)
+        asks, members = np.zeros(n_bins), np.zeros(n_bins)
+        many = self.parts[seen.ravel()]
+        leaf = np.repeat(seen.ravel(), many)
+        nth = np.arange(len(leaf)) - np.repeat(np.cumsum(many) - many, many)
+        who = np.repeat(np.repeat(np.arange(len(seen)), seen.shape[1]), many)
+        pairs = np.unique(np.stack([who, self.bins[self.first[leaf] + nth]]), axis=1)
+        np.add.at(asks, pairs[1], each)
+        np.add.at(members, self.bins, np.repeat(np.array(tree.sizes) / self.parts, self.parts))
+        self.salts = np.maximum(1, np.ceil(asks / ASKS)).astype(int)
+        self.start = np.concatenate([[0], np.cumsum(self.salts)[:-1]])
+        bin_ = np.repeat(np.arange(n_bins), self.salts)
+        load = asks[bin_] / self.salts[bin_]
+        work = load * (500 + members[bin_]) + 500 * members[bin_]
+        size = (load + members[bin_]) * 300 / 1e6
+        self.tasks = int(min(len(work), max(2 * parallel, math.ceil(size.sum() / TASK_MB))))
+        self.task = np.zeros(len(work), np.int32)
+        heap = [(0.0, t) for t in range(self.tasks)]
+        for slot in np.argsort(-work):
+            done, t = heapq.heappop(heap)
+            self.task[slot] = t
+            heapq.heappush(heap, (done + work[slot], t))
+
+
 def neighbours(vectors: DataFrame, id_: str = "vec_id", vector: str = "embeddings", k: int = K, recall: float = RECALL) -> DataFrame:
     """The ``k`` most similar other vectors of each valid vector: vec_id, near (array of id and cosine, most similar first).
 
@@ -247,18 +312,19 @@ def neighbours(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding
         near = F.transform(F.slice("heads", 1, k), lambda i: F.struct(i.alias("id"), F.lit(1.0).cast("float").alias("cosine")))
         copies = cut(copies.select("vec_id", near.alias("near")))
         rows = rows.join(F.broadcast(copies.select("vec_id")) if copies.count() <= BROADCAST_ROWS else copies.select("vec_id"), "vec_id", "left_anti")
-    first, parts, bins = _blocks(tree)
-    sent = spark.sparkContext.broadcast((tree, visits, first, parts, bins))
+    slots = Slots(tree, visits, max(1, rows.count()), spark.sparkContext.defaultParallelism)
+    tree.sample = None
+    sent = spark.sparkContext.broadcast((tree, visits, slots))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, n_visits, f, p, to = sent.value
+        t, n_visits, at = sent.value
+        f, p, to = at.first, at.parts, at.bins
         for b in (c for whole in batches for c in (whole.slice(i, ROUTED) for i in range(0, whole.num_rows, ROUTED))):
             ids, x = b.column(0).to_numpy(), unit(b.column(1))
             home = t.home(x)
             block = f[home] + np.abs(ids) % p[home]
-            want = t.order(x)
-            seen = np.argpartition(-want, n_visits - 1, axis=1)[:, :n_visits] if n_visits < want.shape[1] else np.tile(np.arange(want.shape[1]), (len(x), 1))
-            # all blocks of the visited leaves, and the bins that hold them: one bit for each leaf of a bin
+            seen = t.reach(x, n_visits)
+            # all blocks of the visited leaves, and the bins that hold them
             who, leaf = np.repeat(np.arange(len(x)), seen.shape[1]), seen.ravel()
             many = p[leaf]
             who, leaf = np.repeat(who, many), np.repeat(leaf, many)
@@ -269,16 +335,21 @@ def neighbours(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding
             bin_ = to[blocks_]
             new = np.concatenate([[True], (who[1:] != who[:-1]) | (bin_[1:] != bin_[:-1])])
             start = np.flatnonzero(new)
+            # a member goes to every slot of its bin, a vector that asks to one of them
+            copies = at.salts[to[block]]
+            member = np.repeat(np.arange(len(x)), copies)
+            nth = np.arange(len(member)) - np.repeat(np.cumsum(copies) - copies, copies)
+            held = at.start[to[block[member]]] + nth
+            asking = who[start]
+            asked = at.start[bin_[start]] + (np.abs(ids[asking]) // 7) % at.salts[bin_[start]]
             code = np.round(x * _SCALE).astype(np.int16)
-            rows_at = np.concatenate([np.arange(len(x)), who[start]])
-            offsets = np.concatenate([np.arange(len(x)), len(x) + start, [len(x) + len(blocks_)]]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([block, blocks_]).astype(np.int32)))
+            rows_at = np.concatenate([member, asking])
+            offsets = np.concatenate([np.arange(len(member)), len(member) + start, [len(member) + len(blocks_)]]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([block[member], blocks_]).astype(np.int32)))
             raw = pa.Array.from_buffers(pa.binary(2 * DIMENSIONS), len(rows_at), [None, pa.py_buffer(np.ascontiguousarray(code[rows_at]))]).cast(pa.binary())
-            role = np.concatenate([np.zeros(len(x), bool), np.ones(len(start), bool)])
-            yield pa.record_batch(
-                [pa.array(np.concatenate([to[block], bin_[start]]).astype(np.int32)), pa.array(role), pa.array(ids[rows_at]), lists, raw],
-                names=["bin", "asks", "vec_id", "blocks", "code"],
-            )
+            role = np.concatenate([np.zeros(len(member), bool), np.ones(len(start), bool)])
+            slot = np.concatenate([held, asked]).astype(np.int32)
+            yield pa.record_batch([pa.array(at.task[slot]), pa.array(slot), pa.array(role), pa.array(ids[rows_at]), lists, raw], names=["task", "slot", "asks", "vec_id", "blocks", "code"])
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
@@ -318,11 +389,18 @@ def neighbours(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding
         ends = np.concatenate([[0], np.cumsum(rows_)]).astype(np.int32)
         return pa.table({"vec_id": pa.array(ids[q_rows]), "near": pa.ListArray.from_arrays(pa.array(ends), near)})
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            slot = table.column("slot").to_numpy()
+            by = np.argsort(slot, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(slot[by])) + 1):
+                yield from search(table.take(pa.array(part)).combine_chunks()).to_batches()
+
     out = "vec_id long, near array<struct<id:long,cosine:float>>"
-    routed = rows.where(valid(F.col("v"))).mapInArrow(route, "bin int, asks boolean, vec_id long, blocks array<int>, code binary")
-    n_bins = int(bins.max()) + 1
-    tasks = max(1, min(n_bins, 4 * spark.sparkContext.defaultParallelism))
-    parts_ = routed.repartition(tasks, "bin").groupBy("bin").applyInArrow(search, out)
+    routed = rows.where(valid(F.col("v"))).mapInArrow(route, "task int, slot int, asks boolean, vec_id long, blocks array<int>, code binary")
+    parts_ = routed.repartitionById(slots.tasks, F.col("task")).mapInArrow(work, out)
     together = F.flatten(F.collect_list("near"))
     ranked = F.slice(F.sort_array(F.transform(together, lambda n: F.struct(n["cosine"].alias("cosine"), (-n["id"]).alias("id"))), asc=False), 1, k)
     near = F.transform(ranked, lambda n: F.struct((-n["id"]).alias("id"), n["cosine"].alias("cosine")))

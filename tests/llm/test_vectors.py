@@ -62,18 +62,47 @@ def test_small_and_empty(spark):
     assert V.neighbours(table(spark, [None])).count() == 0
 
 
-def test_order_is_that_of_a_queue():
-    x = clustered(2000, 2)
+def small_tree(n, leaf, branch, seed=2):
+    x = clustered(n, seed)
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    V_branch, V.BRANCH = V.BRANCH, 8
+    old, V.BRANCH = V.BRANCH, branch
     try:
-        t = V.Tree(x, 2000, leaf=40)
+        return x, V.Tree(x, n, leaf=leaf)
     finally:
-        V.BRANCH = V_branch
-    assert len(t.paths) > 20
-    for q in x[:20]:
-        nodes = t.nodes @ q
-        least = np.array([min(nodes[n] for n in p) for p in t.paths])
-        for order in (np.argsort(-t.order(q[None])[0])[:8], t.visit(q, 8)):
-            assert np.allclose(np.sort(least[order]), np.sort(least)[-8:], atol=1e-5)
-    assert (t.home(x[:50]) == [t.visit(v, 1)[0] for v in x[:50]]).mean() > 0.8
+        V.BRANCH = old
+
+
+def test_blocks_visit_what_a_queue_visits():
+    for branch, leaf in ((8, 40), (3, 25), (96, 100)):
+        x, t = small_tree(2000, leaf, branch)
+        assert len(t.paths) > 15
+        for wanted in (1, 8, len(t.paths)):
+            got = t.reach(x[:40], wanted)
+            assert all(len(set(r)) == wanted for r in got)
+            for q, r in zip(x[:40], got):
+                nodes = t.nodes @ q
+                least = np.array([min(nodes[n] for n in p) for p in t.paths])
+                for order in (r, t.visit(q, wanted)):
+                    assert np.allclose(np.sort(least[order]), np.sort(least)[-wanted:], atol=1e-5)
+        assert (t.home(x[:50]) == t.reach(x[:50], 1)[:, 0]).mean() > 0.7
+
+
+def test_slots_divide_those_who_ask(monkeypatch):
+    """A bin that most vectors ask for gets several slots, and tasks are of similar work."""
+    x, t = small_tree(4000, 40, 8)
+    t.sample = np.concatenate([x[:400], np.repeat(x[:1], 1600, axis=0)])
+    monkeypatch.setattr(V, "BIN", 300)
+    monkeypatch.setattr(V, "ASKS", 200)
+    slots = V.Slots(t, 4, 4000, 4)
+    hot = slots.bins[slots.first[t.reach(x[:1], 1)[0, 0]]]
+    assert slots.salts[hot] >= 10 and slots.tasks >= 8
+    assert len(slots.task) == slots.salts.sum() and set(slots.task) == set(range(slots.tasks))
+
+
+def test_hot_bins_keep_all_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(V, "ASKS", 150)
+    monkeypatch.setattr(V, "BIN", 400)
+    x = np.concatenate([clustered(600, 4), np.random.default_rng(9).normal(size=(1, 64)) + 0.2 * np.random.default_rng(8).normal(size=(600, 64))])
+    near = V.neighbours(table(spark, x))
+    assert near.count() == 1200
+    assert V.recall(table(spark, x), near, every=3).first().recall >= 0.9
