@@ -218,10 +218,12 @@ def _word_ends(docs: DataFrame) -> DataFrame:
 
     The last word of a text isn't counted, as it may be the one that was cut.
     """
-    token = docs.select(F.explode(F.split(F.regexp_replace("text", r"\s++\S*+\s*+$", ""), r"[^\S\n]+|(?<=\n)")).alias("t"))
+    parts = F.split(F.rtrim("text"), r"[^\S\n]+|(?<=\n)")
+    # counted as they are written, so that only different tokens are taken apart
+    token = docs.select(F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     bare = F.lower(F.regexp_extract("t", r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)[^\p{L}\p{N}]*$", 1))
     ends = F.col("t").rlike(r"[.!?;][\"'”’»)\]]*\s*$|\n$")
-    return token.select(bare.alias("_word"), ends.alias("e")).where("_word <> ''").groupBy("_word").agg(F.count(F.lit(1)).alias("n_word"), F.count_if("e").alias("n_ends"))
+    return token.select(bare.alias("_word"), ends.alias("e"), "n").where("_word <> ''").groupBy("_word").agg(F.sum("n").alias("n_word"), F.sum(F.when(F.col("e"), F.col("n")).otherwise(0)).alias("n_ends"))
 
 
 def detect(documents: DataFrame) -> DataFrame:
