@@ -33,7 +33,7 @@ COPIES = K + 1
 #: Vectors that go down the tree together, and vectors of the sample with which the work of bins is estimated.
 ROUTED, PLANNED = 8_192, 8_192
 #: Vectors that ask in one slot, and MB that a task reads.
-ASKS, TASK_MB = 12_000, 48
+ASKS, TASK_MB = 48_000, 48
 _SCALE = 32_000.0
 
 
