@@ -84,15 +84,23 @@ def collapse_capitals(tokens: Column) -> Column:
     return F.transform(F.aggregate(tokens, empty, step), lambda x: x["t"])
 
 
+# The letters of initials as people write them, and of unusual ones.
+INITIAL = "[A-Z]{1,3}"
+LOOSE_INITIAL = "[A-Z]{4,}|(?=.*[a-z])(?:[a-z]{0,2}[A-Z]){2,}[a-z]{0,2}"
+
+
+def _letters(word: Column) -> Column:
+    return F.regexp_replace(word, "[^A-Za-z]", "")
+
+
 def is_initial(word: Column) -> Column:
     """One to three capitals and no other letter."""
-    return F.regexp_replace(word, "[^A-Za-z]", "").rlike("^[A-Z]{1,3}$")
+    return _letters(word).rlike(f"^(?:{INITIAL})$")
 
 
 def is_loose_initial(word: Column) -> Column:
     """Four or more capitals, or two or more with at most two small letters around each."""
-    letters = F.regexp_replace(word, "[^A-Za-z]", "")
-    return letters.rlike("^[A-Z]{4,}$") | (letters.rlike("[a-z]") & letters.rlike("^(?:[a-z]{0,2}[A-Z]){2,}[a-z]{0,2}$"))
+    return _letters(word).rlike(f"^(?:{LOOSE_INITIAL})$")
 
 
 def short_authors(names: Column) -> Column:

@@ -136,18 +136,25 @@ def is_kept(types: Column) -> Column:
     return F.array_contains(types, "Journal Article") & ~F.array_contains(types, "Retracted Publication")
 
 
-def project(records: DataFrame, key: str, xml: str = "xml") -> DataFrame:
+def project(records: DataFrame, key: str, xml: str = "xml", fields: tuple[str, ...] | None = None) -> DataFrame:
     """Every record with the columns of the store and ``valid``; of texts that are no record only ``key`` and ``valid`` = false.
 
-    Each text is parsed once for all its fields, and once each by path for the title and the nested references.
-    Null text isn't valid. Repeated records are projected alike.
+    ``fields`` names the columns that are wanted, by default all. Each text is parsed once to tell whether it is a record and once
+    for its fields: the row comes out of a generator, below which the optimiser moves no filter. Titles and nested references
+    are read by path, and only if they are wanted. Null text isn't valid. Repeated records are projected alike.
     """
     from quillstream.functions.text import citation_key, short_authors
 
-    rows = records.select(key, is_record(F.col(xml)).alias("valid"), clean(F.col(xml)).alias("_x"))
-    rows = rows.select(key, "valid", F.when(F.col("valid"), F.col("_x")).alias("_x")).select(key, "valid", "_x", read(F.col("_x")).alias("_r"))
-    r, x = F.col("_r"), F.col("_x")
-    fields = {"pmid": pmid(r), **scalars(r), "title": title(x), "doi": doi(r), "abstract": abstract(r), "authors": authors(r), "publication_types": publication_types(r), "keywords": keywords(r), "reference_pmids": references(x)}
-    out = rows.select(key, "valid", *[F.when(F.col("valid"), c).alias(n) for n, c in fields.items()], F.when(F.col("valid"), short_authors(last_names(r))).alias("_short"))
-    in_text = F.concat("_short", F.lit(" "), "year")
-    return out.withColumn("citation_in_text", in_text).withColumn("citation_short", F.when(F.col("valid"), citation_key(F.col("citation_in_text"), F.col("journal"), F.col("pmid")))).drop("_short")
+    def made(x: Column, r: Column) -> dict[str, Column]:
+        s = scalars(r)
+        cited = F.concat(short_authors(last_names(r)), F.lit(" "), s["year"])
+        return {
+            "pmid": pmid(r), **s, "title": title(x), "doi": doi(r), "abstract": abstract(r), "authors": authors(r), "publication_types": publication_types(r), "keywords": keywords(r),
+            "reference_pmids": references(x), "citation_in_text": cited, "citation_short": citation_key(cited, s["journal"], pmid(r)),
+        }
+
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    names = tuple(made(F.lit(""), F.lit(None))) if fields is None else fields
+    row = lambda x, r: F.struct(r.isNotNull().alias("valid"), *[F.when(r.isNotNull(), made(x, r)[n]).alias(n) for n in names])
+    whole = once(clean(F.col(xml)), lambda x: once(F.when(is_record(x), read(x)), lambda r: row(x, r)))
+    return records.select(key, F.inline(F.array(whole)))

@@ -52,6 +52,62 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, nearest: int = 30, papers: int = 10, block: int = 1_024) -> DataFrame:
+    """query_id, rank, pmid, score of the papers closest to each query vector (query_id, embeddings), as ``nearest_papers`` has them for one.
+
+    The queries are sent out in blocks of ``block``, and every task keeps only its ``nearest`` chunks of each query, so that what is
+    shuffled grows with tasks and queries, not with the vectors compared.
+    """
+    import numpy as np
+    from pyspark.sql import Window
+
+    spark = vectors.sparkSession
+    ids, held, parts = [], [], []
+    found = "query_id long, pmid string, vec_id long, c double"
+
+    def unit(rows) -> np.ndarray:
+        x = np.array(rows, dtype=np.float64)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def ask() -> None:
+        sent = spark.sparkContext.broadcast((np.array(ids), unit(held)))
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = sent.value
+            best = None
+            for b in batches:
+                fit = [v is not None and len(v) == q.shape[1] and any(v) for v in b["embeddings"]]
+                b = b[fit]
+                if not len(b):
+                    continue
+                s = q @ unit(b["embeddings"].tolist()).T
+                order = np.lexsort((np.broadcast_to(b["vec_id"].to_numpy(), s.shape), -s), axis=1)[:, :nearest]
+                row = np.repeat(np.arange(len(q)), order.shape[1])
+                now = pd.DataFrame({"query_id": names[row], "pmid": b["pmid"].to_numpy()[order.ravel()], "vec_id": b["vec_id"].to_numpy()[order.ravel()], "c": np.take_along_axis(s, order, 1).ravel()})
+                now = now if best is None else pd.concat([best, now])
+                best = now.sort_values(["query_id", "c", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(nearest)
+            if best is not None:
+                yield best
+
+        parts.append(vectors.select("vec_id", "pmid", "embeddings").where("embeddings is not null").mapInPandas(compare, found))
+
+    for r in queries.select("query_id", "embeddings").toLocalIterator():
+        ids.append(r.query_id)
+        held.append(list(r.embeddings))
+        if len(ids) == block:
+            ask()
+            ids, held = [], []
+    if ids:
+        ask()
+    every = parts[0] if parts else spark.createDataFrame([], found)
+    for part in parts[1:]:
+        every = every.unionAll(part)
+    near = every.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))).where(F.col("n") <= nearest)
+    best = near.groupBy("query_id", "pmid").agg(F.max(F.round("c", 4)).alias("score"), F.max("c").alias("_c"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("_c"), "pmid")).cast("long")
+    return best.withColumn("rank", rank).where((F.col("rank") <= papers) & (F.col("score") > 0)).select("query_id", "rank", "pmid", "score")
+
+
 def nearest_papers(vectors: DataFrame, query: list[float], nearest: int = 30, papers: int = 10) -> DataFrame:
     """pmid and score of the papers closest to a query vector.
 

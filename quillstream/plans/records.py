@@ -1,6 +1,6 @@
 """Queries over citation records in XML, and over files, with their SQL where there is one.
 
-The records are written as XML from the rows of refs, one in ten of them broken off, and read back.
+The records are written as XML from the rows of refs and read back.
 """
 
 from __future__ import annotations
@@ -67,73 +67,74 @@ def xml_of(refs: DataFrame) -> DataFrame:
         _each("reference_pmids", lambda p: F.concat(F.lit("<Reference><ArticleIdList>"), _el("ArticleId", p, ' IdType="pubmed"'), _el("ArticleId", p, ' IdType="pubmed"'), F.lit("</ArticleIdList></Reference>"))),
         F.lit("</ReferenceList></ReferenceList></PubmedData></PubmedArticle></PubmedArticleSet>"),
     )
-    return refs.select("ref_id", F.when(F.col("ref_id") % 10 == 0, F.left(body, F.length(body) - 30)).otherwise(body).alias("xml"))
+    return refs.select("ref_id", body.alias("xml"))
 
 
-def _projected(spark: SparkSession, d: str) -> DataFrame:
-    return X.project(xml_of(table(spark, d, "refs")), "ref_id")
+def _projected(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    return X.project(xml_of(table(spark, d, "refs")), "ref_id", fields=fields)
 
 
-_V = "ref_id % 10 > 0"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
-@query(f"SELECT ref_id, {_V} AS valid FROM refs")
+@query("SELECT ref_id, true AS valid FROM refs UNION ALL SELECT -1 - ref_id, false FROM refs")
 def src_xml_records(spark, d):
-    """Which texts are citation records."""
-    return X.project(xml_of(table(spark, d, "refs")), "ref_id").select("ref_id", "valid")
+    """Which texts are citation records: every record, and every record broken off before its end."""
+    whole = xml_of(table(spark, d, "refs"))
+    broken = whole.select((-1 - F.col("ref_id")).alias("ref_id"), F.left("xml", F.length("xml") - 30).alias("xml"))
+    return X.project(whole.unionAll(broken), "ref_id", fields=()).select("ref_id", "valid")
 
 
-@query(f"""SELECT ref_id, coalesce(pmid, '') AS pmid, coalesce(journal, '') AS journal, coalesce(year, '') AS year, coalesce(volume, '') AS volume, coalesce(issue, '') AS issue, coalesce(pages, '') AS pages FROM refs WHERE {_V} AND pmid <> ''""")
+@query(f"""SELECT ref_id, coalesce(pmid, '') AS pmid, coalesce(journal, '') AS journal, coalesce(year, '') AS year, coalesce(volume, '') AS volume, coalesce(issue, '') AS issue, coalesce(pages, '') AS pages FROM refs WHERE pmid <> ''""")
 def xml_project(spark, d):
     """Scalar fields of valid records."""
-    return _projected(spark, d).where("valid and pmid not like '0%'").select("ref_id", "pmid", "journal", "year", "volume", "issue", "pages")
+    return _projected(spark, d, "pmid", "journal", "year", "volume", "issue", "pages").where("valid and pmid <> '0'").select("ref_id", "pmid", "journal", "year", "volume", "issue", "pages")
 
 
-@query(f"SELECT ref_id, {_TRIM.format('coalesce(title, ' + chr(39) * 2 + ')')} AS title FROM refs WHERE {_V}")
+@query(f"SELECT ref_id, {_TRIM.format('coalesce(title, ' + chr(39) * 2 + ')')} AS title FROM refs")
 def xml_mixed_text(spark, d):
     """Titles with markup flattened."""
-    return _projected(spark, d).where("valid").select("ref_id", "title")
+    return _projected(spark, d, "title").where("valid").select("ref_id", "title")
 
 
-@query(f"SELECT ref_id, CASE WHEN coalesce(doi, '') = '' THEN '' ELSE 'https://doi.org/' || regexp_replace(doi, '^https://doi.org/', '') END AS doi FROM refs WHERE {_V}")
+@query(f"SELECT ref_id, CASE WHEN coalesce(doi, '') = '' THEN '' ELSE 'https://doi.org/' || regexp_replace(doi, '^https://doi.org/', '') END AS doi FROM refs")
 def doi_fallback(spark, d):
     """The last doi of the article, or of the id list."""
-    return _projected(spark, d).where("valid").select("ref_id", "doi")
+    return _projected(spark, d, "doi").where("valid").select("ref_id", "doi")
 
 
-@query(f"""WITH a AS (SELECT ref_id, list_filter(coalesce(authors, []), lambda a: coalesce(a.author, '') <> '') AS l FROM refs WHERE {_V})
+@query(f"""WITH a AS (SELECT ref_id, list_filter(coalesce(authors, []), lambda a: coalesce(a.author, '') <> '') AS l FROM refs)
 SELECT ref_id, CAST(len(l) AS BIGINT) AS n, coalesce(array_to_string(list_transform(l, lambda a: trim(a.author) || '=' || coalesce(array_to_string(list_filter(a.affiliation, lambda f: coalesce(f, '') <> ''), ';'), '')), '|'), '') AS authors FROM a""")
 def xml_authors(spark, d):
     """Authors with their affiliations; collective names are dropped."""
-    rows = _projected(spark, d).where("valid")
+    rows = _projected(spark, d, "authors").where("valid")
     one = F.transform("authors", lambda a: F.concat(a["author"], F.lit("="), F.array_join(a["affiliation"], ";")))
     return rows.select("ref_id", F.size("authors").cast("long").alias("n"), F.array_join(one, "|").alias("authors"))
 
 
-@query(f"SELECT ref_id, 'AIM: ' || {_TRIM.format('coalesce(abstract, ' + chr(39) * 2 + ')')} || ' End.' AS abstract FROM refs WHERE {_V}")
+@query(f"SELECT ref_id, 'AIM: ' || {_TRIM.format('coalesce(abstract, ' + chr(39) * 2 + ')')} || ' End.' AS abstract FROM refs")
 def xml_abstract(spark, d):
     """Labelled parts of the abstract."""
-    return _projected(spark, d).where("valid").select("ref_id", "abstract")
+    return _projected(spark, d, "abstract").where("valid").select("ref_id", "abstract")
 
 
-@query(f"SELECT ref_id, coalesce(array_to_string(list_transform(list_filter(keywords, lambda k: coalesce(k, '') <> ''), lambda k: {_TRIM.format('k')}), '|'), '') AS keywords FROM refs WHERE {_V}")
+@query(f"SELECT ref_id, coalesce(array_to_string(list_transform(list_filter(keywords, lambda k: coalesce(k, '') <> ''), lambda k: {_TRIM.format('k')}), '|'), '') AS keywords FROM refs")
 def xml_keywords(spark, d):
     """Keywords of the first list."""
-    return _projected(spark, d).where("valid").select("ref_id", F.array_join("keywords", "|").alias("keywords"))
+    return _projected(spark, d, "keywords").where("valid").select("ref_id", F.array_join("keywords", "|").alias("keywords"))
 
 
-@query(f"""WITH e AS (SELECT ref_id, generate_subscripts(reference_pmids, 1) AS i, unnest(reference_pmids) AS p FROM refs WHERE {_V}), f AS (SELECT ref_id, p, min(i) AS i FROM e WHERE p <> '' GROUP BY ref_id, p)
-SELECT r.ref_id, coalesce(string_agg(f.p, '|' ORDER BY f.i), '') AS refs FROM (SELECT ref_id FROM refs WHERE {_V}) r LEFT JOIN f ON r.ref_id = f.ref_id GROUP BY r.ref_id""")
+@query(f"""WITH e AS (SELECT ref_id, generate_subscripts(reference_pmids, 1) AS i, unnest(reference_pmids) AS p FROM refs), f AS (SELECT ref_id, p, min(i) AS i FROM e WHERE p <> '' GROUP BY ref_id, p)
+SELECT r.ref_id, coalesce(string_agg(f.p, '|' ORDER BY f.i), '') AS refs FROM (SELECT ref_id FROM refs) r LEFT JOIN f ON r.ref_id = f.ref_id GROUP BY r.ref_id""")
 def refs_distinct(spark, d):
     """Reference ids, each once, in order."""
-    return _projected(spark, d).where("valid").select("ref_id", F.array_join("reference_pmids", "|").alias("refs"))
+    return _projected(spark, d, "reference_pmids").where("valid").select("ref_id", F.array_join("reference_pmids", "|").alias("refs"))
 
 
-@query(f"SELECT ref_id, coalesce(array_to_string(list_filter(publication_types, lambda t: coalesce(t, '') <> ''), '|'), '') AS types, coalesce(list_contains(publication_types, 'Journal Article') AND NOT list_contains(publication_types, 'Retracted Publication'), false) AS kept FROM refs WHERE {_V}")
+@query(f"SELECT ref_id, coalesce(array_to_string(list_filter(publication_types, lambda t: coalesce(t, '') <> ''), '|'), '') AS types, coalesce(list_contains(publication_types, 'Journal Article') AND NOT list_contains(publication_types, 'Retracted Publication'), false) AS kept FROM refs")
 def xml_valid_types(spark, d):
     """Publication types and whether the record is kept."""
-    return _projected(spark, d).where("valid").select("ref_id", F.array_join("publication_types", "|").alias("types"), X.is_kept(F.col("publication_types")).alias("kept"))
+    return _projected(spark, d, "publication_types").where("valid").select("ref_id", F.array_join("publication_types", "|").alias("types"), X.is_kept(F.col("publication_types")).alias("kept"))
 
 
 @query()

@@ -52,21 +52,22 @@ def last_wins_dedupe(spark, d):
 
 
 @query(f"""
-WITH {CUR}, batch AS (SELECT cite_id, regexp_extract(stem, '(\\d+)$', 1) AS pmid FROM (SELECT paper_id AS cite_id, stem FROM papers))
-SELECT pmid, min(cite_id) AS cite_id FROM batch WHERE pmid NOT IN (SELECT pmid FROM cur WHERE CAST(ref_id AS BIGINT) % 2 = 0) GROUP BY pmid""")
+WITH {CUR}, own AS (SELECT paper_id AS cite_id, regexp_extract(stem, '(\\d+)$', 1) AS pmid FROM papers), batch AS (SELECT cite_id, pmid FROM own UNION ALL SELECT cite_id, '9' || pmid FROM own)
+SELECT pmid, min(cite_id) AS cite_id FROM batch WHERE pmid NOT IN (SELECT pmid FROM cur) GROUP BY pmid""")
 def dedupe_anti_join(spark, d):
-    """Ids of a batch that half of the store doesn't have, each once."""
-    batch = table(spark, d, "papers").select(F.col("paper_id").alias("cite_id"), F.regexp_extract("stem", r"(\d+)$", 1).alias("pmid"))
-    return S.new_ids(batch, store_of(spark, d).where("ref_id % 2 = 0"), "pmid", "cite_id")
+    """Ids of a batch that the store doesn't have, each once: the batch has the id of each paper, and one that no record has."""
+    id_ = F.regexp_extract("stem", r"(\d+)$", 1)
+    batch = table(spark, d, "papers").select(F.col("paper_id").alias("cite_id"), F.explode(F.array(id_, F.concat(F.lit("9"), id_))).alias("pmid"))
+    return S.new_ids(batch, store_of(spark, d), "pmid", "cite_id")
 
 
 @query(f"""
 WITH {CUR}, batch AS (SELECT paper_id, pmid, row_number() OVER (PARTITION BY pmid ORDER BY paper_id) AS n FROM papers WHERE pmid IS NOT NULL)
-SELECT paper_id, pmid, CASE WHEN n > 1 OR pmid IN (SELECT pmid FROM cur WHERE ref_id % 2 = 0) THEN 'duplicate' ELSE 'new' END AS status FROM batch""")
+SELECT paper_id, pmid, CASE WHEN n > 1 OR pmid IN (SELECT pmid FROM cur) THEN 'duplicate' ELSE 'new' END AS status FROM batch""")
 def batch_status(spark, d):
     """Every id of a batch as duplicate or new, repeats within the batch being duplicates."""
     batch = table(spark, d, "papers").where("pmid is not null").select("paper_id", "pmid")
-    return S.duplicate_events(batch, store_of(spark, d).where("ref_id % 2 = 0"), "pmid", "paper_id")
+    return S.duplicate_events(batch, store_of(spark, d), "pmid", "paper_id")
 
 
 @query("""
@@ -193,17 +194,22 @@ def chunk_sliding(spark, d):
     return rows.select("doc_id", "chunk_index", F.md5("chunk").alias("digest"))
 
 
-@query("""
-WITH q AS (SELECT CAST(embeddings AS DOUBLE[]) AS v FROM chroma_db WHERE len(embeddings) = 64 AND list_sum(list_transform(embeddings, lambda x: abs(x))) > 0 ORDER BY vec_id LIMIT 1),
-s AS (SELECT pmid, vec_id, list_cosine_similarity(CAST(embeddings AS DOUBLE[]), (SELECT v FROM q)) AS c FROM chroma_db WHERE len(embeddings) = 64 AND list_sum(list_transform(embeddings, lambda x: abs(x))) > 0),
-t AS (SELECT * FROM s ORDER BY c DESC, vec_id LIMIT 30)
-SELECT pmid, score FROM (SELECT pmid, max(round(c, 4)) AS score, max(c) AS m FROM t GROUP BY pmid ORDER BY score DESC, m DESC, pmid LIMIT 10) WHERE score > 0""")
+_USABLE = "len(embeddings) = 64 AND list_sum(list_transform(embeddings, lambda x: abs(x))) > 0"
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, pmid, CAST(embeddings AS DOUBLE[64]) AS e FROM chroma_db WHERE {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, v.pmid, v.vec_id, array_cosine_similarity(v.e, q.e) AS c FROM v, v AS q WHERE q.vec_id % 100 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS n FROM s),
+p AS (SELECT query_id, pmid, max(round(c, 4)) AS score, max(c) AS m FROM t WHERE n <= 30 GROUP BY query_id, pmid),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, m DESC, pmid) AS rank FROM p)
+SELECT query_id, rank, pmid, score FROM r WHERE rank <= 10 AND score > 0""")
 def vector_topk(spark, d):
-    """The papers closest to the first vector of the collection."""
+    """The papers closest to every vector whose id 100 divides, against all vectors."""
     vectors = table(spark, d, "chroma_db").select("vec_id", "pmid", "embeddings")
     usable = (F.size("embeddings") == 64) & F.exists("embeddings", lambda x: x != 0)
-    first = vectors.where(usable).orderBy("vec_id").limit(1).collect()
-    return V.nearest_papers(vectors, list(first[0].embeddings) if first else [0.0] * 64)
+    queries = vectors.where(usable & (F.col("vec_id") % 100 == 0)).select(F.col("vec_id").alias("query_id"), "embeddings")
+    return V.nearest_to_each(vectors, queries)
 
 
 @query(f"WITH {CUR} SELECT pmid, status FROM (SELECT pmid, 'retracted' AS status FROM cur WHERE list_contains(publication_types, 'Retracted Publication') UNION ALL SELECT pmid, 'preprint' FROM cur WHERE list_contains(publication_types, 'Preprint'))")
@@ -255,13 +261,15 @@ def citation_key(spark, d):
 
 
 @query(f"""
-WITH {CUR}, hits AS (SELECT DISTINCT p.pmid, r.reference AS hit, r.ord FROM (SELECT pmid FROM cur WHERE list_contains(publication_types, 'Preprint')) p JOIN (SELECT pmid, unnest(reference_pmids) AS reference, generate_subscripts(reference_pmids, 1) AS ord FROM cur) r ON p.pmid = r.pmid)
-SELECT pmid, CAST(ord - 1 AS INTEGER) AS ord, hit FROM hits WHERE hit IS NOT NULL AND hit <> pmid AND hit NOT IN (SELECT pmid FROM cur WHERE ref_id % 2 = 0)""")
+WITH {CUR}, hits AS (SELECT DISTINCT p.pmid, r.reference AS hit, r.ord FROM (SELECT pmid FROM cur WHERE list_contains(publication_types, 'Preprint')) p JOIN (SELECT pmid, unnest(reference_pmids) AS reference, generate_subscripts(reference_pmids, 1) AS ord FROM cur) r ON p.pmid = r.pmid),
+asked AS (SELECT pmid, hit, ord FROM hits UNION ALL SELECT pmid, '9' || hit, ord FROM hits)
+SELECT pmid, CAST(ord - 1 AS INTEGER) AS ord, hit FROM asked WHERE hit IS NOT NULL AND hit <> pmid AND hit NOT IN (SELECT pmid FROM cur)""")
 def preprint_candidates(spark, d):
-    """Ids found for preprints (here: their references) that half of the store lacks."""
+    """Ids found for preprints (here: their references, and for each an id that no record has) that the store lacks."""
     store = store_of(spark, d)
     hits = store.where(F.array_contains("publication_types", "Preprint")).select("pmid", F.posexplode("reference_pmids").alias("ord", "hit"))
-    return S.preprint_candidates(hits, store.where("ref_id % 2 = 0"))
+    hits = hits.select("pmid", "ord", F.explode(F.array("hit", F.concat(F.lit("9"), "hit"))).alias("hit"))
+    return S.preprint_candidates(hits, store)
 
 
 @query("SELECT paper_id, length(regexp_replace(full_text, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(full_text, '[^\\p{L}]', '', 'g')) < 2000 AS fallback FROM papers WHERE full_text IS NOT NULL")
@@ -281,12 +289,13 @@ def resolved_refs_collect(spark, d):
     return kept.select("pmid", F.size("l").cast("long").alias("resolved"), F.array_join(F.transform("l", lambda x: x["p"]), "|").alias("found"))
 
 
-@query(f"""WITH {CUR}, e AS (SELECT pmid, unnest(reference_pmids) AS target FROM cur)
-SELECT pmid, 'papers/' || pmid || '.json' AS file, count(*) AS n_warnings, min(left('not resolved: ' || target, 120)) AS first_warning FROM e WHERE target NOT IN (SELECT pmid FROM cur WHERE ref_id % 2 = 0) GROUP BY pmid""")
+@query(f"""WITH {CUR}, o AS (SELECT pmid, unnest(reference_pmids) AS target FROM cur), e AS (SELECT pmid, target FROM o UNION ALL SELECT pmid, '9' || target FROM o)
+SELECT pmid, 'papers/' || pmid || '.json' AS file, count(*) AS n_warnings, min(left('not resolved: ' || target, 120)) AS first_warning FROM e WHERE target NOT IN (SELECT pmid FROM cur) GROUP BY pmid""")
 def merge_log(spark, d):
-    """A log row for each record with references that half of the store lacks."""
+    """A log row for each record with references that the store lacks; each reference is also asked for under an id that no record has."""
     store = store_of(spark, d)
-    lost = store.select("pmid", F.explode("reference_pmids").alias("target")).where("target is not null").join(store.where("ref_id % 2 = 0").select(F.col("pmid").alias("target")), "target", "left_anti")
+    asked = store.select("pmid", F.explode("reference_pmids").alias("t")).select("pmid", F.explode(F.array("t", F.concat(F.lit("9"), "t"))).alias("target"))
+    lost = asked.where("target is not null").join(store.select(F.col("pmid").alias("target")), "target", "left_anti")
     said = F.left(F.concat(F.lit("not resolved: "), "target"), F.lit(120))
     return lost.groupBy("pmid").agg(F.count(F.lit(1)).alias("n_warnings"), F.min(said).alias("first_warning")).withColumn("file", F.concat(F.lit("papers/"), "pmid", F.lit(".json")))
 
