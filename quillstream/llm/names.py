@@ -2,8 +2,10 @@
 
 Method: trie join. Surnames, departments and places are sharded into tries, which Levenshtein automata walk for
 all neighbours within one edit; a neighbour with many more rows is what a misspelling stands for. Token order is
-undone by reading the parts: a name is surname and given names in any order, an address is department,
-institution and place in any order. Two spellings are linked if their parts agree.
+undone by checking permutations: a name of full words is read with its first and with its last word as the surname, and a reading
+counts if names whose order is plain (before a comma, beside initials) have that surname more often; an address is department,
+institution and place in any order. Spellings whose parts are the same form a class; two classes of one
+surname and initial are linked if their parts agree, and pairs of spellings follow from the links of their classes.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.edit import fold
-from quillstream.llm.triejoin import Trie, bases
+from quillstream.llm.triejoin import Trie, bases, tasks_for
 from quillstream.session import cut
 
 #: Short and foreign forms of given names, by the full form.
@@ -31,13 +33,15 @@ NICKNAMES = {
 #: Titles, degrees and suffixes.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir mag dipl ing".split())
 SUFFIXES = frozenset("jr sr junior senior md phd msc bsc ba ma mph rn frcp dphil dsc mbbs esq".split())
-#: Words of institutions, by the first letters that tell them.
-ORG = {
-    "univ": "university", "hosp": "hospital", "coll": "college", "inst": "institute", "cent": "centre", "scho": "school", "acad": "academy", "clin": "clinic", "foun": "foundation",
-    "gen": "general", "vet": "veterinary", "res": "research", "tech": "technology", "medi": "medical", "nati": "national", "stat": "state", "teac": "teaching", "poly": "polytechnic",
-}
-_HEADS = ("university", "hospital", "college", "institute", "centre", "school", "academy", "foundation", "polytechnic")
-_UNIT = frozenset("department dept dep depart departement div division section sect unit lab laboratory".split())
+#: Words of institutions, those that name one first, and words of units. Abbreviations and misspellings follow from them by rule.
+HEADS = ("university", "hospital", "college", "institute", "centre", "school", "academy", "foundation", "polytechnic", "clinic")
+ORG = (*HEADS, "general", "veterinary", "research", "technology", "technological", "technical", "medical", "national", "state", "teaching")
+FOREIGN = {"universitat": "university", "universite": "university", "universidad": "university", "universita": "university"}
+UNIT = ("department", "departement", "division", "section", "unit", "laboratory")
+#: Words that are one word here.
+_SAME = {"technological": "technology", "technical": "technology"}
+#: Names and addresses that one task reads.
+READ = 4_000
 _SMALL = frozenset("of and for the in at de des du la le der die das und von a an".split())
 
 _FORMAL = {n: {full} for full in NICKNAMES for n in [full]}
@@ -56,8 +60,10 @@ def formal(given: str, known: Trie) -> list[str]:
     return sorted(_FORMAL.get(given, {given}))
 
 
-def read_name(text: str, known: Trie) -> tuple[str, list[str], str, list[str]] | None:
-    """(surname, possible first initials, middle initials, full forms of the given name) of a typed name; None if it has no surname or no given name.
+def read_name(text: str, known: Trie, turned: bool = False) -> tuple[str, list[str], str, list[str], bool] | None:
+    """(surname, possible first initials, middle initials, full forms of the given name, plain) of a typed name; None if it has no surname or no given name.
+
+    ``plain``: the order of the name is beyond doubt. ``turned`` reads a name whose order isn't plain the other way round, and gives None for any other.
 
     A nickname of several names (Ted) has the initials of all of them.
 
@@ -79,6 +85,7 @@ def read_name(text: str, known: Trie) -> tuple[str, list[str], str, list[str]] |
 
     upper = plain.isupper()
     short = lambda w: len(w) == 1 or len(w) <= 3 and w.isupper() and "-" not in w
+    plain_order = True
     if comma and tail.strip() and tail.strip().rstrip(".").lower() not in SUFFIXES:
         family, given = useful(words(head)), useful([*words(tail.partition(",")[0]), "x", "x"])[:-2]
     else:
@@ -95,8 +102,11 @@ def read_name(text: str, known: Trie) -> tuple[str, list[str], str, list[str]] |
             while at < len(ws) - 1 and (short(ws[at]) and len(ws[at]) == 1):
                 at += 1
             family, given = ws[at:], ws[:at]
-            if len(given) == 1 and len(family) == 1 and not upper and family[0].lower() in _FORMAL and given[0].lower() not in _FORMAL:
-                family, given = given, family
+            plain_order = len(given[0]) == 1
+            if turned and not plain_order:
+                family, given = ws[:1], ws[1:]
+    if turned and plain_order:
+        return None
     surname = " ".join(w.lower() for w in family).replace("ph", "f").strip()
     letters = [w for w in given if w.strip("-")]
     if not surname or not letters:
@@ -104,22 +114,44 @@ def read_name(text: str, known: Trie) -> tuple[str, list[str], str, list[str]] |
     first, rest = letters[0], letters[1:]
     if short(first) and not (len(first) > 1 and first.lower() in _FORMAL and not upper):
         initials = "".join(x for w in letters for x in (w.upper() if short(w) else w[0].upper()))
-        return surname, [initials[0]], initials[1:], []
+        return surname, [initials[0]], initials[1:], [], plain_order
     full = formal(first.lower(), known)
-    return surname, sorted({f[0].upper() for f in full}), "".join(w.upper() if short(w) else w[0].upper() for w in rest), full
+    return surname, sorted({f[0].upper() for f in full}), "".join(w.upper() if short(w) else w[0].upper() for w in rest), full, plain_order
+
+
+class Words:
+    """Words of a list with their abbreviations (beginnings of three letters or more, contractions) and misspellings (one edit)."""
+
+    def __init__(self, words: tuple[str, ...], also: dict[str, str] | None = None) -> None:
+        self.words, self.trie, self.memo = words, Trie(sorted(words)), dict(also or {})
+
+    def find(self, word: str) -> str | None:
+        if word not in self.memo:
+            self.memo[word] = self._find(word)
+        return self.memo[word]
+
+    def _find(self, word: str) -> str | None:
+        if word in self.words:
+            return word
+        if len(word) >= 3:
+            bare = word[:-1] if word.endswith("s") else word
+            begun = [w for w in self.words if w.startswith(word) or len(bare) >= 4 and w.startswith(bare)]
+            if begun:
+                return begun[0]
+            inner = [w for w in self.words if len(word) <= len(w) // 2 and w[0] == word[0] and w[-1] == word[-1] and _inside(word, w)]
+            if inner:
+                return min(inner, key=len)
+        if len(word) >= 6 and (near := sorted(w for w, _ in self.trie.near(word))):
+            return near[0]
+        return None
 
 
-def _org(word: str) -> str | None:
-    """The institution word that ``word`` is, abbreviated or misspelt."""
-    for k, full in ORG.items():
-        if word == full or len(word) >= 3 and (full.startswith(word) or word.startswith(k) and (word[:5] == full[:5] or len(word) <= len(k) + 1)):
-            return full
-    if word in ("center", "universitat", "universite", "universidad", "universita", "technological", "technical"):
-        return {"c": "centre", "u": "university", "t": "technology"}[word[0]]
-    return None
+def _inside(part: str, word: str) -> bool:
+    it = iter(word)
+    return all(c in it for c in part)
 
 
-def read_unit(text: str, orgs: Trie) -> dict:
+def read_unit(text: str, orgs: Words, units: Words) -> dict:
     """Parts of a typed affiliation: department phrase (marked or not), institution words, candidates for the place."""
     plain = fold(text).lower().replace("&", " and ")
     plain = re.sub(r"^\s*(?:\(?[a-z0-9]{1,2}\)|[*†‡§¶#]+|\d{1,3})\s*", "", plain)
@@ -129,17 +161,11 @@ def read_unit(text: str, orgs: Trie) -> dict:
         words = _WORD.findall(seg)
         if not words:
             continue
-        if any(w in _UNIT or w in ("departmetn", "deparment") for w in words[:3]):
-            dept, marked = [w.replace("ph", "f") for w in words if w not in _UNIT and w not in _SMALL and w != "from"], True
+        if any(units.find(w) for w in words[:3]):
+            dept, marked = [w.replace("ph", "f") for w in words if not units.find(w) and w not in _SMALL and w != "from"], True
             continue
-        read = []
-        for w in words:
-            o = _org(w)
-            if o is None and len(w) >= 6:
-                near = [x for x, d in orgs.near(w) if d]
-                o = near[0] if near else None
-            read.append(o)
-        if any(o in _HEADS for o in read) and inst is None:
+        read = [_SAME.get(o, o) for o in map(orgs.find, words)]
+        if any(o in HEADS for o in read) and inst is None:
             inst = sorted({o for o in read if o})
             spots.append(" ".join(w for w, o in zip(words, read) if o is None and w not in _SMALL).replace("ph", "f"))
         else:
@@ -147,58 +173,92 @@ def read_unit(text: str, orgs: Trie) -> dict:
     return {"dept": " ".join(dept), "marked": marked, "inst": " ".join(inst or []), "spots": [s for s in spots if s], "loose": [s for s in loose if s]}
 
 
-NAME = "struct<surname:string,initials:array<string>,middle:string,given:array<string>>"
-UNIT = "struct<dept:string,marked:boolean,inst:string,spots:array<string>,loose:array<string>>"
+NAME = "array<struct<surname:string,initials:array<string>,middle:string,given:array<string>,plain:boolean,turned:boolean>>"
+UNIT_PARTS = "struct<dept:string,marked:boolean,inst:string,spots:array<string>,loose:array<string>>"
 
 
-def _read_names(texts: pd.Series) -> pd.DataFrame:
+def _read_names(texts: pd.Series) -> pd.Series:
     known = Trie(sorted(_FORMAL))
-    rows = [read_name(t, known) or (None, None, None, None) for t in texts]
-    return pd.DataFrame(rows, columns=["surname", "initials", "middle", "given"])
+    keys = ("surname", "initials", "middle", "given", "plain")
+    both = lambda t: [dict(zip(keys, r)) | {"turned": way} for way in (False, True) if (r := read_name(t, known, way))]
+    return pd.Series([both(t) for t in texts], dtype=object)
 
 
 def _read_units(texts: pd.Series) -> pd.DataFrame:
-    orgs = Trie(sorted(set(ORG.values())))
-    return pd.DataFrame([read_unit(t, orgs) for t in texts], columns=["dept", "marked", "inst", "spots", "loose"])
+    orgs, units = Words(ORG, FOREIGN), Words(UNIT)
+    return pd.DataFrame([read_unit(t, orgs, units) for t in texts], columns=["dept", "marked", "inst", "spots", "loose"])
 
 
 def _counted(texts: DataFrame, column: str) -> DataFrame:
-    """Distinct non-blank strings with their rows, written down so that no filter moves a parser before the count."""
-    return cut(texts.select(F.col(column).alias("name")).where(F.trim("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("rows")))
+    """Distinct non-blank strings with their rows, written down so that no filter moves a parser before the count, and dealt to tasks by their number."""
+    rows = cut(texts.select(F.col(column).alias("name")).where(F.trim("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("rows")))
+    return rows.repartition(tasks_for(rows, READ), "name")
 
 
-def person_pairs(names: DataFrame, column: str = "name") -> DataFrame:
-    """Pairs (name_a, name_b), name_a < name_b, of different spellings of one person.
+def person_classes(names: DataFrame, column: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(members, links): name and class of every readable name; class, other and whether they are the same, for classes whose names mean one person.
 
-    Linked are names whose surnames are equal or one a misspelling of the other, with the same first initial,
-    no contradiction of middle initials, and no contradiction of full given names (nicknames count as the name).
-    Null, blank and unreadable names (no surname, or no given name) have no pair; repeated names count once;
-    names that agree with several persons are linked with each.
+    A class has the spellings with the same surname (misspellings undone), first initial, middle initials and full given name. Classes are
+    linked if middle initials and full given names don't contradict each other (nicknames count as the name). A name with a
+    nickname of several names, or of doubtful order, is a member of several classes.
     """
-    read = cut(_counted(names, column).select("name", "rows", F.pandas_udf(_read_names, NAME)("name").alias("p")).select("name", "rows", "p.*").where("surname is not null"))
-    read = read.withColumn("initial", F.explode("initials")).drop("initials")
+    read = cut(_counted(names, column).select("name", "rows", F.inline(F.pandas_udf(_read_names, NAME)("name"))))
+    # of the two orders of a name without a sign the turned one counts if more names have its surname beyond doubt
+    sure = read.where("plain").groupBy(F.col("surname").alias("_s")).agg(F.sum("rows").alias("sure"))
+    read = read.join(sure, F.col("surname") == F.col("_s"), "left").withColumn("sure", F.coalesce("sure", F.lit(0))).drop("_s")
+    straight = read.where("not turned and not plain").select(F.col("name").alias("_n"), F.col("sure").alias("_other"))
+    turned = read.where("turned").join(straight, F.col("name") == F.col("_n")).where("sure > _other")
+    read = read.where("not turned").join(turned.select(F.col("name").alias("_n")), F.col("name") == F.col("_n"), "left_anti").unionByName(turned.drop("_n", "_other"))
+    read = cut(read.withColumn("initial", F.explode("initials")).drop("initials"))
     parts = cut(read.groupBy("initial", "surname").agg(F.sum("rows").alias("rows")))
     wrong = bases(parts, "initial", "surname", "rows", 1.0).select(F.col("kind").alias("initial"), F.col("text").alias("surname"), "base")
-    base = read.join(wrong, ["initial", "surname"], "left").withColumn("base", F.coalesce("base", "surname")).drop("rows")
-    base = cut(base)
-    a, b = (base.select("initial", "base", *[F.col(c).alias(f"{c}_{x}") for c in ("name", "surname", "middle", "given")]) for x in "ab")
+    base = read.join(wrong, ["initial", "surname"], "left").withColumn("base", F.coalesce("base", "surname"))
+    told = ["initial", "base", "middle", "given"]
+    members = cut(base.select("name", F.xxhash64(*told).alias("class"), *told))
+    classes = members.select("class", *told).distinct()
+    a, b = (classes.select("initial", "base", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "middle", "given")]) for x in "ab")
     empty = lambda c: F.size(c) == 0
     agree = (
-        (F.col("name_a") < F.col("name_b"))
+        (F.col("class_a") <= F.col("class_b"))
         & ((F.col("middle_a") == "") | (F.col("middle_b") == "") | F.startswith("middle_a", "middle_b") | F.startswith("middle_b", "middle_a"))
         & (empty("given_a") | empty("given_b") | F.arrays_overlap("given_a", "given_b"))
     )
-    return a.join(b, ["initial", "base"]).where(agree).select("name_a", "name_b").distinct()
+    links = a.join(b, ["initial", "base"]).where(agree).select(F.col("class_a").alias("class"), F.col("class_b").alias("other"))
+    return members.select("name", "class").distinct(), cut(links.distinct())
 
 
-def unit_pairs(units: DataFrame, column: str = "name") -> DataFrame:
-    """Pairs (name_a, name_b), name_a < name_b, of different spellings of one department of one institution.
+def _pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(name_a, name_b) of the members of linked classes."""
+    a, b = members.select("class", F.col("name").alias("_a")), members.select(F.col("class").alias("other"), F.col("name").alias("_b"))
+    both = links.join(a, "class").join(b, "other").where("_a <> _b")
+    return both.select(F.least("_a", "_b").alias("name_a"), F.greatest("_a", "_b").alias("name_b")).distinct()
+
+
+def linked(members: DataFrame, links: DataFrame) -> DataFrame:
+    """name, class, links: every name with its class and the number of names of linked classes, counted by classes and not by pairs."""
+    size = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    both = links.unionAll(links.where("class <> other").select(F.col("other").alias("class"), F.col("class").alias("other")))
+    around = both.join(size.withColumnRenamed("class", "other"), "other").groupBy("class").agg((F.sum("n") - 1).alias("links"))
+    return members.join(around, "class").select("name", "class", "links")
+
+
+def person_pairs(names: DataFrame, column: str = "name") -> DataFrame:
+    """Pairs (name_a, name_b), name_a < name_b, of different spellings of one person: the members of linked ``person_classes``.
+
+    Null, blank and unreadable names (no surname, or no given name) have no pair; repeated names count once;
+    names that agree with several persons are linked with each.
+    """
+    return _pairs(*person_classes(names, column))
+
+
+def unit_classes(units: DataFrame, column: str = "name") -> DataFrame:
+    """name and class of spellings of departments of institutions.
 
     Units are equal if department, kind of institution and place are, after abbreviations are completed with the
     departments of the table and misspellings undone. Country, postal code and footnote marks don't count. Null
-    and blank values and those without institution or department have no pair; repeated values count once.
+    and blank values and those without institution or department have no class; repeated values count once.
     """
-    read = cut(_counted(units, column).select("name", "rows", F.pandas_udf(_read_units, UNIT)("name").alias("p")).select("name", "rows", "p.*").where("inst <> ''"))
+    read = cut(_counted(units, column).select("name", "rows", F.pandas_udf(_read_units, UNIT_PARTS)("name").alias("p")).select("name", "rows", "p.*").where("inst <> ''"))
     listed = read.where("marked and dept <> ''").groupBy(F.col("dept").alias("phrase")).agg(F.sum("rows").alias("n"))
     spots = read.select("rows", F.explode(F.concat("spots", "loose")).alias("spot")).groupBy("spot").agg(F.sum("rows").alias("n"))
     words = cut(listed.select(F.lit("dept").alias("kind"), F.col("phrase").alias("t"), "n").unionByName(spots.select(F.lit("spot").alias("kind"), F.col("spot").alias("t"), "n")))
@@ -217,9 +277,13 @@ def unit_pairs(units: DataFrame, column: str = "name") -> DataFrame:
     usable = F.when(F.size("spots") > 0, F.col("spots")).otherwise(F.filter("loose", lambda s: stems(s) != stems(F.col("dept"))))
     place = own.select("name", "inst", "dept", F.get(usable, F.lit(0)).alias("spot")).where("spot <> ''")
     place = place.join(spot_fix, F.col("spot") == F.col("spot_was"), "left").withColumn("spot", F.coalesce("spot_is", "spot"))
-    key = cut(place.select("name", "inst", "dept", "spot").distinct())
-    a, b = (key.select("inst", "dept", "spot", F.col("name").alias(f"name_{x}")) for x in "ab")
-    return a.join(b, ["inst", "dept", "spot"]).where("name_a < name_b").select("name_a", "name_b")
+    return cut(place.select("name", F.xxhash64("inst", "dept", "spot").alias("class")).distinct())
+
+
+def unit_pairs(units: DataFrame, column: str = "name") -> DataFrame:
+    """Pairs (name_a, name_b), name_a < name_b, of different spellings of one department of one institution: the members of one of ``unit_classes``."""
+    members = unit_classes(units, column)
+    return _pairs(members, members.select("class", F.col("class").alias("other")).distinct())
 
 
 def variant_pairs(refs: DataFrame) -> DataFrame:
