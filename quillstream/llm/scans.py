@@ -2,8 +2,8 @@
 
 Method: the lines of a page are told apart from what belongs to the page only (running headers and footers, page
 numbers). A lexicon of word frequencies over all texts is indexed by symmetric deletes and by confusions; a rare word that an edit
-with confused characters turns into a frequent one is a misreading, and where several repairs are possible the
-word before it decides. The lexicon also decides whether a hyphen at a line end divides a word.
+with confused characters turns into a frequent one may be a misreading. Each place where it stands is judged by itself: of the
+repairs, and the word as it is, the one wins that fits the words before and behind it. The lexicon also decides whether a hyphen at a line end divides a word.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.edit import fold, levenshtein
+from quillstream.llm.edit import distance, fold
 from quillstream.session import BROADCAST_ROWS, cut
 
 #: What scanners confuse, as (read, meant).
@@ -30,10 +30,12 @@ CONFUSED = (
 CONFUSION, DIACRITIC, EDIT, COST_MOST = 0.3, 0.2, 1.0, 0.65
 #: A misreading has at most SLACK rows and one for each SHARE rows of the word meant, and that word TIMES as many.
 SLACK, SHARE, TIMES = 2, 60, 4
-#: Lines longer than this aren't lines of a page.
-WIDEST = 140
-#: A line of the page only stands in so many papers for each paper, and interrupts a sentence in so many cases.
-SPREAD, INTRUDES = 0.002, 0.4
+#: Lines longer than this aren't lines of a page; the share of such lines that a scanned text may have.
+WIDEST, WIDE = 140, 0.05
+#: A line of the page only stands in so many papers or in so many places at least, and interrupts a sentence in such a share of them.
+PAPERS, PLACES, INTRUDES = 3, 4, 0.4
+#: Words of fewer letters are misread only where the words around them say so.
+SURE = 4
 #: A line of the page only that is found by repetition is shorter than so much of the median line.
 SHORT = 0.8
 
@@ -63,11 +65,11 @@ def _alike(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4:
         return False
     most = 1 if len(a) < 10 else 2 if len(a) < 24 else 3
-    # letters that only one side has are edits too, and counted far faster
-    x, y = Counter(a), Counter(b)
-    if (x - y).total() > most or (y - x).total() > most:
+    # of one part more than there may be edits, one is left as it was
+    step = max(1, len(b) // (most + 1))
+    if not any(b[i * step : (i + 1) * step] in a for i in range(most + 1)):
         return False
-    return levenshtein(a, b, most) <= most
+    return distance(a, b) <= most
 
 
 def _number(text: str) -> int | None:
@@ -79,9 +81,9 @@ def _number(text: str) -> int | None:
 
 
 def is_scanned(text: str) -> bool:
-    """True if the text has the short lines of pages: several lines, most of them full, none very long, no Markdown."""
+    """True if the text has the short lines of pages: several lines, most of them full, few very long, no Markdown."""
     lines = [x.rstrip() for x in re.split(r"[\n\f]", text) if x.strip()]
-    if len(lines) < 3 or max(map(len, lines)) > WIDEST:
+    if len(lines) < 3 or sum(len(x) > WIDEST for x in lines) > WIDE * len(lines):
         return False
     if any(re.match(r"#{1,6} |\|.*\|$", x) for x in lines):
         return False
@@ -117,26 +119,27 @@ def classify(text: str, stem: str | None, boiler: frozenset[str] = frozenset())
         title_at = i
         break
     title = sig[title_at] if title_at is not None else ""
+    bare_of = lambda x: " ".join(x.replace("#", " ").split())
+    named, printed = bare_of(cited), bare_of(journal)
 
     def names_page(i: int) -> bool:
         s = sig[i]
-        plain = s.replace("#", " ").strip()
-        plain = re.sub(r"\s+", " ", plain)
+        plain = bare_of(s)
         numbered = _EDGE.search(lines[i]) is not None
         if len(plain) < 4:
             return False
-        if s in boiler or re.search(r"\ball rights reserved$", plain):
+        if s in boiler or plain.endswith("all rights reserved"):
             return True
-        if cited and _alike(plain, re.sub(r"\s+", " ", cited)) and len(lines[i]) < 70:
+        if cited and len(lines[i]) < 70 and _alike(plain, named):
             return True
         if journal:
-            j = re.sub(r"\s+", " ", journal.replace("#", " ")).strip()
+            j = printed
             tail = plain[len(j) :].strip() if plain.startswith(j) else None
             if _alike(plain, j) or tail is not None and len(tail) <= 2 or numbered and len(j) > 5 and _alike(plain[: len(j)], j):
                 return True
         if title_at is not None and i != title_at and len(s.split()) >= 2 and len(s) < len(title) + 3:
-            begins = title.startswith(s) or _alike(title[: len(s)], s) and len(s) >= 10
-            if begins and (numbered or lines[i].isupper() and not title.isupper() or len(s.split()) >= 3) and not _ENDED.search(lines[i]):
+            meant = (numbered or lines[i].isupper() and not title.isupper() or len(s.split()) >= 3) and not _ENDED.search(lines[i])
+            if meant and (title.startswith(s) or len(s) >= 10 and _alike(title[: len(s)], s)):
                 return True
         if numbered and re.search(r"\bp[.,]\s*[\dlIOo]+$", lines[i]) and len(lines[i]) < 90 and not _PAGE.match(lines[i]):
             return True
@@ -195,85 +198,91 @@ def _cut_end(line: str) -> re.Match | None:
 LINES = "paper_id long, line_no int, kind string, body string, cut_a string, cut_b string, mark string, loose boolean, marks string"
 
 
-def _read(batches: Iterator[pd.DataFrame], boiler: frozenset[str]) -> Iterator[pd.DataFrame]:
-    """Lines of scanned papers; ``body`` is the text of the words that begin in the line, ``cut_a`` and ``cut_b`` the parts of its last word where a hyphen ends it."""
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of scanned papers (paper_id, stem, full_text, boiler); ``body`` is the text of the words that begin in the line, ``cut_a`` and ``cut_b`` the parts of its last word where a hyphen ends it."""
     for b in batches:
         rows = []
-        for pid, stem, text in zip(b["paper_id"], b["stem"], b["full_text"]):
-            if not text or not is_scanned(text):
-                continue
+        for pid, stem, text, boiler in zip(b["paper_id"], b["stem"], b["full_text"], b["boiler"]):
             lines = text.split("\n")
-            kinds = classify(text, stem, boiler)
+            kinds = classify(text, stem, frozenset(boiler if boiler is not None else ()))
             at = [i for i, k in enumerate(kinds) if k == "text"]
-            marks = "".join(sorted({m.group(2) for i in at if (m := _cut_end(lines[i].replace("\f", ""))) and m.group(2) != "-"}))
+            bare = [x.replace("\f", "") for x in lines]
+            ends = {i: m for i in at if (m := _cut_end(bare[i]))}
+            marks = "".join(sorted({m.group(2) for m in ends.values() if m.group(2) != "-"}))
             follow = dict(zip(at, at[1:]))
             taken: dict[int, int] = {}
             parts = {}
-            for i in at:
-                m = _cut_end(lines[i].replace("\f", ""))
+            for i, m in ends.items():
                 j = follow.get(i)
-                if m and j is not None:
+                if j is not None:
                     nxt = re.match(r"[ \t\f]*([^\W_](?:[\w@$€]*[^\W_])?)", lines[j])
                     if nxt and not nxt.group(1)[0].isupper():
-                        parts[i] = (m.group(1), nxt.group(1), m.group(2), lines[i].replace("\f", "")[-1:] in " \t")
+                        parts[i] = (m.group(1), nxt.group(1), m.group(2), bare[i][-1:] in " \t")
                         taken[j] = nxt.end()
             for i, k in enumerate(kinds):
                 body = None
                 if k == "cells":
-                    body = lines[i].replace("\f", "")
+                    body = bare[i]
                 if k in ("text", "heading"):
-                    body = lines[i].replace("\f", "")
-                    if i in taken:
-                        body = lines[i][taken[i] :]
+                    body = lines[i][taken[i] :] if i in taken else bare[i]
                     if i in parts and (m := _cut_end(body)):
                         body = body[: m.start()]
-                a, c, mark, loose = parts.get(i, (None, None, None, None))
-                rows.append((pid, i + 1, k, body, a, c, mark, loose, marks))
+                x, y, mark, loose = parts.get(i, (None, None, None, None))
+                rows.append((pid, i + 1, k, body, x, y, mark, loose, marks))
         yield pd.DataFrame(rows, columns=["paper_id", "line_no", "kind", "body", "cut_a", "cut_b", "mark", "loose", "marks"]).astype({"loose": object})
 
 
-def page_formulas(papers: DataFrame) -> frozenset[str]:
-    """Signatures of lines that stand in many papers and interrupt sentences, as notices of libraries and archives do.
+_OPEN_END = re.compile(r" (?:the|of|in|and|with|for|a|an|to|by|was|were|not|at|on|from|is|are)$")
+
+
+def _repeatable(text: str) -> list[dict]:
+    """The short lines of a page that may be notices, with their signature and whether they interrupt a sentence."""
+    out = []
+    lines = [x.replace("\f", "").strip() for x in text.split("\n") if x.strip()]
+    width = sorted(map(len, lines))[len(lines) // 2]
+    for k, x in enumerate(lines):
+        if len(x) > SHORT * width or _ENDED.search(x) or _CELLS.match(x):
+            continue
+        s = signature(x)
+        if len(s) < 8 or " " not in s or _OPEN_END.search(s):
+            continue
+        was = lines[k - 1] if k else "."
+        breaks = not _ENDED.search(was) and x[:1].isupper() and was[-1] not in _HYPHENS and not _PAGE.match(was)
+        out.append({"s": s, "breaks": int(breaks)})
+    return out
+
+
+def _scan(texts: pd.Series) -> pd.DataFrame:
+    rows = [(True, _repeatable(t)) if is_scanned(t) else (False, []) for t in texts]
+    return pd.DataFrame(rows, columns=["scanned", "short"])
+
 
-    At least ``SPREAD`` of all papers must have the line, so there are at most (lines of a paper) / SPREAD of
-    them, whatever the number of papers; they are counted over all lines of all papers.
+def scanned(papers: DataFrame) -> DataFrame:
+    """paper_id, stem, full_text of every paper with a text, ``scanned`` and ``boiler``: the signatures of its lines that stand in several papers and interrupt sentences, as notices of libraries and archives do.
+
+    Every text is looked at once for both; the lines are counted where they are, over all papers.
     """
-    n = papers.count()
-    if not n:
-        return frozenset()
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text in b["full_text"]:
-                if not text or not is_scanned(text):
-                    continue
-                lines = [x.replace("\f", "").strip() for x in text.split("\n") if x.strip()]
-                width = sorted(map(len, lines))[len(lines) // 2]
-                for k, x in enumerate(lines):
-                    s = signature(x)
-                    if len(s) < 8 or len(s.split()) < 2 or len(x) > SHORT * width or _ENDED.search(x) or _CELLS.match(x):
-                        continue
-                    was = lines[k - 1] if k else "."
-                    breaks = int(not _ENDED.search(was) and x[:1].isupper() and was[-1] not in _HYPHENS and not _PAGE.match(was))
-                    rows.append((s, breaks))
-            yield pd.DataFrame(rows, columns=["s", "breaks"])
-
-    lines = papers.select("full_text").where("full_text is not null").mapInPandas(read, "s string, breaks int").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("breaks").alias("b"))
-    found = lines.where((F.col("n") >= max(3, SPREAD * n)) & (F.col("b") >= INTRUDES * F.col("n"))).select("s").collect()
-    bad = re.compile(r" (?:the|of|in|and|with|for|a|an|to|by|was|were|not|at|on|from|is|are)$")
-    return frozenset(r.s for r in found if not bad.search(r.s))
-
-
-def lines_of(papers: DataFrame) -> DataFrame:
-    """Every line of every scanned paper (``LINES``), with what the page adds told apart. Written to the shared folder."""
-    boiler = page_formulas(papers)
     rows = papers.select("paper_id", "stem", "full_text").where("full_text is not null")
-    return cut(rows.mapInPandas(lambda it: _read(it, boiler), LINES))
+    rows = cut(rows.withColumn("_p", F.pandas_udf(_scan, "struct<scanned:boolean,short:array<struct<s:string,breaks:int>>>")("full_text")).select("paper_id", "stem", "full_text", "_p.*", F.monotonically_increasing_id().alias("_row")))
+    each = rows.select("_row", F.inline("short"))
+    many = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("breaks").alias("b"), F.count_distinct("_row").alias("papers"))
+    found = cut(many.where(((F.col("papers") >= PAPERS) | (F.col("n") >= PLACES)) & (F.col("b") >= INTRUDES * F.col("n"))).select("s"))
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    own = each.select("_row", "s").join(found, "s").groupBy("_row").agg(F.collect_set("s").alias("boiler"))
+    return rows.drop("short").join(own, "_row", "left").drop("_row")
+
+
+def lines_of(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, texts that don't come from pages): every line of every scanned paper (``LINES``), with what the page adds told apart. Written to the shared folder."""
+    rows = scanned(papers)
+    return cut(rows.where("scanned").select("paper_id", "stem", "full_text", "boiler").mapInPandas(_read, LINES)), rows.where("not scanned").select("paper_id", "full_text")
+
+
+_WORDS = re.compile(r"[^\W_](?:[^\W_@$€!|¢]*(?:[@$€!|¢]+[^\W_@$€!|¢]+)*)?(?:['’][^\W_]+)?")
 
 
 def _words(text: Column) -> Column:
-    """The words of a text in lower case, in order, as an array."""
+    """The words of a text in lower case, in order, as an array (``_WORDS`` is the same pattern)."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}](?:[\p{L}\p{N}@$€!|¢]*[\p{L}\p{N}])?(?:['’][\p{L}\p{N}]+)?"), F.lit(0))
 
 
@@ -379,54 +388,88 @@ def _only(rows: DataFrame, words: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "word", "left_semi")
 
 
-def corrections(counts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Misread words with the word meant: word, meant.
+def misreadings(counts: DataFrame) -> DataFrame:
+    """(word, meant, n, n_meant, cost): rare words with the frequent words they may stand for, from the index.
 
-    ``counts`` (word, n) and ``tokens`` (before, word) are over all texts. Words of fewer than four or more than forty
-    characters, and words as frequent as a misreading can't be, are left alone. Of several possible words the
-    one that stands more often after the same words wins, then the more frequent one.
+    ``counts`` (word, n) is over all texts. Words as frequent as a misreading can't be are left alone, so on the
+    rare side only those stay that are rare beside the most frequent word of about their length.
     """
-    words = counts.where(F.length("word").between(4, 40) & F.col("word").rlike(r"\p{L}") & ~F.col("word").contains("-"))
+    words = counts.where((F.length("word") >= 2) & F.col("word").rlike(r"\p{L}") & ~F.col("word").contains("-"))
     forms = lambda f: F.pandas_udf(lambda w: w.map(f), "array<string>")("word")
     # deletes alone miss pairs of confusions, and those with a longer word meant
-    meant_keys, read_keys = (F.array_distinct(F.concat(_deletes(F.col("word"), d), forms(f))) for d, f in ((1, meant_forms), (2, read_forms)))
+    meant_keys, read_keys = (F.array_distinct(F.concat(_deletes(F.col("word"), 1), forms(f))) for f in (meant_forms, read_forms))
     frequent = words.where(F.col("n") >= TIMES).select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.explode(meant_keys).alias("key"))
-    rare = words.select("word", "n", F.explode(read_keys).alias("key"))
+    most = words.groupBy(F.length("word").alias("_size")).agg(F.max("n").alias("top"))
+    most = cut(most.select(F.explode(F.array(*[F.col("_size") + i for i in range(-2, 3)])).alias("_size"), "top").groupBy("_size").agg(F.max("top").alias("top")))
+    most = F.broadcast(most) if most.count() <= BROADCAST_ROWS else most
     odd = F.col("word").rlike(r"[\p{L}][0-9@$€!|¢]+\p{Ll}|^[0-9@$€!|¢]\p{Ll}{2}|[^\x00-\x7f]")
+    rare = words.join(most, F.length("word") == F.col("_size")).where((F.col("n") * TIMES <= F.col("top")) & ((F.col("n") <= SLACK + F.col("top") / SHARE) | odd)).select("word", "n")
+    rare = rare.select("word", "n", F.explode(read_keys).alias("key"))
     near = rare.join(frequent, "key").where((F.col("word") != F.col("meant")) & (F.abs(F.length("word") - F.length("meant")) <= 2))
     near = near.where((F.col("n_meant") >= TIMES * F.col("n")) & ((F.col("n") <= SLACK + F.col("n_meant") / SHARE) | odd & (F.col("n") <= SLACK + F.col("n_meant") / 4)))
     near = near.select("word", "meant", "n", "n_meant").distinct()
     weigh = F.pandas_udf(lambda a, b: pd.Series([cost(x, y) for x, y in zip(a, b)], dtype="float64"), "double")
     near = cut(cut(near).withColumn("cost", weigh("word", "meant")).where(F.col("cost") <= COST_MOST))
-    asked = cut(near.select("word").union(near.select("meant")).distinct())
-    pairs = cut(_only(tokens, asked).where("before is not null").groupBy("before", "word").agg(F.count(F.lit(1)).alias("n")))
-    context = pairs.join(near.select("word").distinct(), "word", "left_semi").select("before", "word", F.col("n").alias("times"))
-    both = near.select("word", "meant").join(context, "word").join(pairs.select("before", F.col("word").alias("meant"), F.col("n").alias("seen")), ["before", "meant"])
-    fit = both.groupBy("word", "meant").agg(F.sum(F.col("times") * F.log1p("seen")).alias("fit"))
-    best = near.join(fit, ["word", "meant"], "left").withColumn("score", F.coalesce("fit", F.lit(0.0)) + F.log1p("n_meant") - 8 * F.col("cost"))
-    chosen = cut(best.groupBy("word").agg(F.max_by("meant", F.struct("score", "meant")).alias("meant")))
     # a misreading of a misreading stands for neither
-    return chosen.join(chosen.select(F.col("word").alias("meant")), "meant", "left_anti").select("word", "meant")
+    return near.join(near.select(F.col("word").alias("meant")).distinct(), "meant", "left_anti")
+
+
+def corrections(counts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Misread words at their places: place, word, meant.
+
+    ``counts`` (word, n) and ``tokens`` (place, before, word, after) are over all texts. At each place of a word that may be a
+    misreading the repairs are weighed by how often they stand after the word before and before the word behind, by their
+    frequency and by their cost. The word stays where it stands with these neighbours in other places more often than any repair does;
+    a word of under ``SURE`` letters is repaired only if a repair has stood beside one of the neighbours.
+    """
+    near = cut(misreadings(counts))
+    asked = near.select("word").distinct()
+    at = cut(_only(tokens, asked))
+    options = near.select("word", F.col("meant").alias("as"), "n_meant", "cost").unionByName(asked.join(counts, "word").select("word", F.col("word").alias("as"), F.col("n").alias("n_meant"), F.lit(0.0).alias("cost")))
+    places = at.join(F.broadcast(options) if options.count() <= BROADCAST_ROWS else options, "word")
+
+    def seen(side: str) -> DataFrame:
+        """How often the pairs of a neighbour and an option that are asked for occur in all texts."""
+        wanted = cut(places.select(side, "as").where(F.col(side).isNotNull()).distinct())
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        pairs = tokens.select(side, F.col("word").alias("as")).join(wanted, [side, "as"], "left_semi")
+        return pairs.groupBy(side, "as").agg(F.count(F.lit(1)).alias(f"n_{side}"))
+
+    for side in ("before", "after"):
+        n = seen(side).withColumnsRenamed({side: "_side", "as": "_as"})
+        places = places.join(n, (F.col(side) == F.col("_side")) & (F.col("as") == F.col("_as")), "left").drop("_side", "_as")
+    own = (F.col("as") == F.col("word")).cast("int")
+    # the place itself is no evidence for the word that stands there
+    left, right = (F.greatest(F.coalesce(f"n_{x}", F.lit(0)) - own, F.lit(0)) for x in ("before", "after"))
+    fit = F.log1p(left) + F.log1p(right)
+    judged = places.select("place", "word", "as", fit.alias("fit"), (fit + F.log1p("n_meant") - 8 * F.col("cost")).alias("score"))
+    repair = F.col("as") != F.col("word")
+    best = judged.groupBy("place", "word").agg(
+        F.max_by(F.when(repair, F.col("as")), F.when(repair, F.struct("score", "as"))).alias("meant"),
+        F.max(F.when(repair, F.col("fit"))).alias("fit"),
+        F.max(F.when(~repair, F.col("fit"))).alias("own"),
+    )
+    return best.where((F.col("own") <= F.col("fit")) & ((F.length("word") >= SURE) | (F.col("fit") > 0))).select("place", "word", "meant")
 
 
 def analyse(papers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, hyphens, misread words): ``lines_of``; paper_id, line_no, word, kept, divided; paper_id, line_no, word, meant."""
-    lines = lines_of(papers)
+    lines, born = lines_of(papers)
     compounds = lines.where("body is not null and kind <> 'cells'").select(F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+-[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
-    plain = papers.where("full_text is not null").join(lines.select("paper_id").distinct(), "paper_id", "left_anti").select(F.explode(_words(F.col("full_text"))).alias("word"))
+    plain = born.select(F.explode(_words(F.col("full_text"))).alias("word"))
     own = cut(lines.where("body is not null and kind <> 'cells'").select("paper_id", "line_no", _words(F.col("body")).alias("words")).where(F.size("words") > 0))
     single = own.select(F.explode("words").alias("word"))
     counts = cut(single.unionAll(plain).unionAll(compounds).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     hyphens = cut(_join_words(lines, counts))
-    before = F.concat(F.array(F.lit(None).cast("string")), "words")
-    token = own.select("paper_id", "line_no", F.explode(F.zip_with("words", before, lambda w, b: F.struct(b.alias("before"), w.alias("word")))).alias("t")).select("paper_id", "line_no", "t.*").where("word is not null")
-    joined = hyphens.select("paper_id", "line_no", F.explode(F.when(F.col("divided"), F.array("word")).otherwise(F.split("kept", "-"))).alias("word"))
+    around = F.transform("words", lambda w, i: F.struct(i.alias("at"), F.when(i > 0, F.get("words", i - 1)).alias("before"), w.alias("word"), F.get("words", i + 1).alias("after")))
+    inside = own.select("paper_id", "line_no", F.inline(around))
+    joined = hyphens.select("paper_id", "line_no", F.posexplode(F.when(F.col("divided"), F.array("word")).otherwise(F.split("kept", "-"))).alias("at", "word"))
+    none = F.lit(None).cast("string")
+    tokens = inside.unionByName(joined.select("paper_id", "line_no", (-1 - F.col("at")).alias("at"), none.alias("before"), "word", none.alias("after")))
     more = joined.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    fixes = cut(corrections(counts.unionAll(more).groupBy("word").agg(F.sum("n").alias("n")), token.select("before", "word")))
-    if fixes.count() <= BROADCAST_ROWS:
-        fixes = F.broadcast(fixes)
-    misread = token.select("paper_id", "line_no", "word").unionAll(joined.select("paper_id", "line_no", "word")).join(fixes, "word").select("paper_id", "line_no", "word", "meant")
-    return lines, hyphens, misread
+    every = counts.unionAll(more).groupBy("word").agg(F.sum("n").alias("n"))
+    found = cut(corrections(every, tokens.select(F.struct("paper_id", "line_no", "at").alias("place"), "before", "word", "after")))
+    return lines, hyphens, found.select("place.paper_id", "place.line_no", "place.at", "word", "meant")
 
 
 def flaws(papers: DataFrame) -> DataFrame:
@@ -447,7 +490,7 @@ def repaired(papers: DataFrame) -> DataFrame:
     Texts that don't come from pages are returned as they are.
     """
     lines, hyphens, misread = analyse(papers)
-    fix = misread.groupBy("paper_id", "line_no").agg(F.collect_set(F.struct("word", "meant")).alias("fixes"))
+    fix = misread.groupBy("paper_id", "line_no").agg(F.collect_set(F.struct("at", "word", "meant")).alias("fixes"))
     rows = lines.join(hyphens.select("paper_id", "line_no", "divided"), ["paper_id", "line_no"], "left").join(fix, ["paper_id", "line_no"], "left")
     page = rows.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "kind", "body", "cut_a", "cut_b", "divided", "fixes"))).alias("page"))
     whole = F.pandas_udf(lambda pages: pd.Series([_paragraphs(p) for p in pages], dtype=object), "string")
@@ -455,6 +498,11 @@ def repaired(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", "full_text").join(done, "paper_id", "left").select("paper_id", F.coalesce("repaired", "full_text").alias("text"))
 
 
+def _cased(word: str, like: str) -> str:
+    """``word`` with the capitals of the word that it replaces."""
+    return word.upper() if len(like) > 1 and like.isupper() else word.capitalize() if like[:1].isupper() else word
+
+
 def _paragraphs(page) -> str:
     """The paragraphs of classified lines: headers and page numbers dropped, words joined and corrected."""
     out: list[str] = [""]
@@ -475,11 +523,13 @@ def _paragraphs(page) -> str:
                 out.append("")
             last = kind
             continue
-        text = body or ""
+        text, fixes = body or "", {f["at"]: (f["word"], f["meant"]) for f in (r["fixes"] if r["fixes"] is not None else ())}
+        for at, m in reversed([*enumerate(_WORDS.finditer(text))]):
+            if at in fixes and m.group().lower() == fixes[at][0]:
+                text = text[: m.start()] + _cased(fixes[at][1], m.group()) + text[m.end() :]
         if r["cut_a"] is not None:
-            text += r["cut_a"] + ("" if r["divided"] else "-") + r["cut_b"]
-        for f in r["fixes"] if r["fixes"] is not None else ():
-            text = re.sub(rf"(?<![\w@$€]){re.escape(f['word'])}(?![\w@$€])", lambda m, v=f["meant"]: v.capitalize() if m.group()[0].isupper() else v, text, flags=re.I)
+            halves = [r["cut_a"] + r["cut_b"]] if r["divided"] else [r["cut_a"], r["cut_b"]]
+            text += "-".join(_cased(fixes[-1 - k][1], h) if -1 - k in fixes else h for k, h in enumerate(halves))
         glue = "" if not out[-1] or not text[:1].strip() or text[:1] in ".,;:)?!%" else " "
         out[-1] = out[-1] + glue + text.rstrip() if out[-1] else text.strip()
         last = kind

@@ -75,7 +75,55 @@ def test_corrections_of_every_pair_within_the_cost(spark):
     pairs = {"intemal": "internal", "undear": "unclear", "musde": "muscle", "westem": "western", "govemrnent": "government", "hosqitol": None, "rnodem": "modern", "rneasvrernent": None, "rneasurernent": "measurement", "hespitol": "hospital", "whích": "which", "ínternai": "internal", "rnúscle": "muscle"}
     known = {"internal", "unclear", "muscle", "western", "government", "modern", "which", "hospital", "measurement"}
     counts = spark.createDataFrame([(w, 400) for w in known] + [(w, 1) for w in pairs], "word string, n long")
-    got = {r.word: r.meant for r in S.corrections(counts, spark.createDataFrame([], "before string, word string")).collect()}
+    got = {r.word: r.meant for r in S.corrections(counts, spark.createDataFrame([(i, None, w, None) for i, w in enumerate(pairs)], "place int, before string, word string, after string")).collect()}
     assert got == {w: m for w, m in pairs.items() if m}
     assert all((S.cost(w, m) <= S.COST_MOST) == (pairs[w] == m) for w in pairs for m in known)
     assert all(set(S.read_forms(w)) & set(S.meant_forms(m)) for w, m in pairs.items() if m)
+
+
+def test_each_place_is_judged_by_its_neighbours(spark):
+    """One misreading means two words, and is a word itself in one place; short words need a neighbour that speaks for the repair."""
+    tokens = [(i, "his", "head", "of") for i in range(40)] + [(100 + i, "glass", "bead", "necklace") for i in range(40)] + [(200, "his", "hcad", "of"), (201, "glass", "hcad", "necklace")]
+    tokens += [(300 + i, "to", "clear", "the") for i in range(300)] + [(900 + i, "mister", "dear", "friend") for i in range(3)] + [(990, "to", "dear", "the")]
+    tokens += [(1000 + i, "it", "the", "house") for i in range(200)] + [(1300, "it", "tbe", "house"), (1301, "xq", "tbe", "zq")]
+    rows = spark.createDataFrame(tokens, "place int, before string, word string, after string")
+    counts = rows.groupBy("word").count().withColumnRenamed("count", "n")
+    got = {r.place: r.meant for r in S.corrections(counts, rows).collect()}
+    assert got == {200: "head", 201: "bead", 990: "clear", 1300: "the"}
+
+
+def test_repair_at_its_place_only(spark):
+    page = [{"kind": "text", "body": "The rneasure and the rneasure's RNEASURE ", "cut_a": "m0", "cut_b": "nths", "divided": True, "fixes": [{"at": 1, "word": "rneasure", "meant": "measure"}, {"at": 5, "word": "rneasure", "meant": "measure"}, {"at": -1, "word": "m0nths", "meant": "months"}]}]
+    assert S._paragraphs(page) == "The measure and the rneasure's MEASURE months"
+
+
+def test_one_long_line_is_no_veto(spark):
+    assert S.is_scanned(PAGE + "\n" + PAGE + "\n" + "word " * 40)
+    assert not S.is_scanned("\n".join(["word " * 60] * 10))
+
+
+def test_notices_in_few_of_many_papers(spark):
+    """A notice that three papers have is found, whatever the number of papers."""
+    body = "The patients of the {0} were seen in the\nCopy of the {1} desk\nhospital of the town and all of the values\nwere measured by a {0} nurse in the same\nroom as the last time that they had come."
+    rows = [(i, None, body.format(f"group{i}", "library" if i < 3 else f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i % 7)}qz")) for i in range(120)]
+    df = spark.createDataFrame(rows, "paper_id long, stem string, full_text string")
+    got = {(r.paper_id, r.line_no) for r in S.flaws(df).where("kind = 'header'").collect()}
+    assert {(0, 2), (1, 2), (2, 2)} <= got and len(got) < 10
+
+
+def test_blocks_never_reject_what_is_alike():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(2000):
+        a = "".join(rng.choices("abc ", k=rng.randint(4, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randint(0, 1)] = rng.choices("abc ", k=rng.randint(0, 1))
+            b = b or ["a"]
+        b = "".join(b)
+        n = len(a)
+        most = 1 if n < 10 else 2 if n < 24 else 3
+        far = abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4
+        assert S._alike(a, b) == (a == b or not far and S.distance(a, b) <= most)
