@@ -127,17 +127,46 @@ def resolve(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.when(won, F.col("w.hit")).alias("pmid"), F.when(won, F.col("w.rung")).alias("rung"), F.when(~won, warning).alias("warning"))
 
 
-def climb(asked: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+def climb(asked: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str, tries: int = 2) -> DataFrame:
     """``resolve`` against a service that should be asked as little as possible: rung after rung, only for what is still open.
 
-    ``ask`` answers a DataFrame of different queries with (query, hits, pmid).
+    ``ask`` answers a DataFrame of different queries with (query, hits, pmid), and ``error`` where a query failed. A citation
+    with a failed query climbs its whole ladder again, ``tries`` times in all; if it fails each time its warning is ``search error``
+    with the error, and the others go on. An ``ask`` that fails altogether fails all its queries.
     """
-    answers = asked.sparkSession.createDataFrame([], "query string, hits long, pmid string")
+    out, todo = None, asked
+    for attempt in range(1, tries + 1):
+        found, failed = _climb_once(todo, ask, key)
+        lost = failed.select(key)
+        done = found.join(lost, key, "left_anti")
+        out = done if out is None else out.unionByName(done)
+        if failed.isEmpty():
+            return out
+        if attempt == tries:
+            none = F.lit(None)
+            return out.unionByName(failed.select(key, none.cast("string").alias("pmid"), none.cast("int").alias("rung"), F.concat(F.lit("search error: "), "error").alias("warning")))
+        todo = cut(todo.join(lost, key, "left_semi"))
+
+
+def _climb_once(asked: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
+    """(``resolve`` of all citations, key and error of those with a failed query)."""
+    spark = asked.sparkSession
+    answers = spark.createDataFrame([], "query string, hits long, pmid string")
+    failed = cut(asked.select(key, F.lit("").alias("error")).where("false"))
     for rung in (0, 1, 2, 3, 9):
         rows = _opened(asked, answers, key)
-        done = rows.where(F.col("open") & (F.col("n") == 1)).select(key).distinct()
-        now = rows.where(F.col("open") & (F.col("rung") == rung)).join(done, key, "left_anti").select("query").distinct()
-        now = cut(now.join(answers.select("query"), "query", "left_anti"))
-        if not now.isEmpty():
-            answers = cut(answers.unionByName(ask(now).select("query", "hits", "pmid")))
-    return resolve(asked, answers, key)
+        done = rows.where(F.col("open") & (F.col("n") == 1)).select(key).unionAll(failed.select(key)).distinct()
+        live = rows.where(F.col("open") & (F.col("rung") == rung)).join(done, key, "left_anti").select(key, "query")
+        now = cut(live.select("query").distinct().join(answers.select("query"), "query", "left_anti"))
+        if now.isEmpty():
+            continue
+        try:
+            got = ask(now)
+            got = cut(got if "error" in got.columns else got.withColumn("error", F.lit(None).cast("string")))
+        except Exception as e:  # noqa: BLE001
+            said = f"{type(e).__name__}: {e}".split("\n")[0][:200]
+            got = now.select("query", F.lit(None).cast("long").alias("hits"), F.lit(None).cast("string").alias("pmid"), F.lit(said).alias("error"))
+        bad = got.where("error is not null").select("query", "error")
+        failed = cut(failed.unionAll(live.join(bad, "query").groupBy(key).agg(F.min("error").alias("error"))))
+        answers = cut(answers.unionByName(got.where("error is null").select("query", "hits", "pmid")))
+    return resolve(asked, answers, key), failed

@@ -17,28 +17,63 @@ def chunk_rows(texts: DataFrame, size: int = 400, overlap: int = 80) -> DataFram
     return rows.select(F.concat("pmid", F.lit("::chunk"), "chunk_index").alias("chunk_id"), "pmid", "chunk_index", "chunk")
 
 
-def encode(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
-    """``rows`` with ``embedding``: ``make`` loads a model once for each Python worker and returns its encoder."""
+#: Texts that an encoder gets at once.
+BATCH = 256
+
+
+def encode(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[list[float]]]], size: int = BATCH) -> DataFrame:
+    """``rows`` with ``embedding``: ``make`` loads a model once for each Python worker and returns its encoder, which gets at most ``size`` texts at once."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for b in batches:
-            yield pd.Series(model(b.fillna("").tolist()), dtype=object)
+            texts = b.fillna("").tolist()
+            yield pd.Series([v for i in range(0, len(texts), size) for v in model(texts[i : i + size])], dtype=object)
 
     return rows.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(text)))
 
 
+def model_encoder(name: str, device: str | None = None) -> Callable[[], Callable[[list[str]], list[list[float]]]]:
+    """A ``make`` for ``encode`` from a sentence model by name or path; without ``device`` the accelerator that the worker has, else the CPU.
+
+    The library (``sentence_transformers``) is imported in the worker and only there.
+    """
+
+    def make() -> Callable[[list[str]], list[list[float]]]:
+        from sentence_transformers import SentenceTransformer
+
+        model = SentenceTransformer(name, device=device or best_device())
+        return lambda texts: model.encode(texts, batch_size=BATCH, show_progress_bar=False).tolist()
+
+    return make
+
+
+def best_device() -> str:
+    """``cuda`` or ``mps`` if this process has it, else ``cpu``."""
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    if torch.cuda.is_available():
+        return "cuda"
+    mps = getattr(torch.backends, "mps", None)
+    return "mps" if mps is not None and mps.is_available() else "cpu"
+
+
 def hashed_encoder(dimensions: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic encoder of hashed words, for tests and where no model is at hand."""
-    import zlib
+    """A deterministic encoder of hashed words, for tests and where no model is at hand.
+
+    Each word in lower case adds 1 or -1 to the dimension that its MD5 names; the sum has norm 1.
+    """
+    import hashlib
 
     def run(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
             v = [0.0] * dimensions
             for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dimensions] += 1.0 if h & 65536 else -1.0
+                h = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+                v[h % dimensions] += 1.0 if h // 65536 % 2 else -1.0
             n = sum(x * x for x in v) ** 0.5 or 1.0
             out.append([x / n for x in v])
         return out

@@ -39,14 +39,19 @@ def publish(df: DataFrame, root: str) -> None:
     spark.createDataFrame([(v,)], "v long").coalesce(1).write.mode("overwrite").json(f"{root}/refs/_current")
 
 
-def fetch(ids: DataFrame, transport: str | None = None, spacing: float = 0.4) -> DataFrame:
+def fetch(ids: DataFrame, transport: str | None = None, spacing: float = 0.4, partitions: int = 1) -> DataFrame:
     """id, xml, error of the ids of a DataFrame, from the service."""
-    from quillstream.sources.remote import RecordSource
+    from quillstream.sources.remote import fetch_records
 
-    spark = ids.sparkSession
-    spark.dataSource.register(RecordSource)
-    listed = ",".join(r.id for r in ids.select("id").toLocalIterator())
-    return spark.read.format("citation_records").options(ids=listed, spacing=str(spacing), **({"transport": transport} if transport else {})).load()
+    return fetch_records(ids, transport, spacing, partitions=partitions)
+
+
+def ask_service(queries: DataFrame, transport: str | None = None, spacing: float = 0.4, partitions: int = 1) -> DataFrame:
+    """query, hits, pmid (of a single hit), error from the service's search: an ``ask`` for ``merge``."""
+    from quillstream.sources.remote import search_all
+
+    found = search_all(queries, 2, transport, spacing, partitions=partitions)
+    return found.select("query", "hits", F.when(F.col("hits") == 1, F.get("ids", F.lit(0))).alias("pmid"), "error")
 
 
 def ingest(spark: SparkSession, root: str, ids: list[str], get: Callable[[DataFrame], DataFrame] = fetch) -> DataFrame:
@@ -115,7 +120,8 @@ def merge(spark: SparkSession, root: str, journals: DataFrame, ask: Callable[[Da
     """Fill affiliations and references of the store from the extracts in ``papers``; returns a row of counters for each incomplete record.
 
     Citations are parsed and resolved through the ladder; ``ask`` answers queries with (query, hits, pmid), by default
-    from the store itself. References are replaced only where at least one was resolved.
+    from the store itself. References are replaced only where at least one was resolved. Records with warnings are appended to
+    ``merge_log``, a line of JSON each.
     """
     old = cut(store(spark, root).withColumn("stem", T.citation_key(F.col("citation_in_text"), F.col("journal"), F.col("pmid"))))
     todo = cut(R.incomplete(old))
@@ -138,6 +144,9 @@ def merge(spark: SparkSession, root: str, journals: DataFrame, ask: Callable[[Da
     there = extracts.select("stem", F.lit(True).alias("has_file")).distinct()
     report = todo.select("pmid", "stem").join(there, "stem", "left").join(counted, "pmid", "left").join(per, "pmid", "left")
     error = F.when(F.col("has_file").isNull(), F.concat(F.lit("file not found: papers/"), "stem", F.lit(".json")))
+    warned = cut(report.where(F.size("warnings") > 0).select("pmid", F.concat(F.lit("papers/"), "stem", F.lit(".json")).alias("file"), "warnings"))
+    if not warned.isEmpty():
+        files.append_lines(warned, f"{root}/merge_log")
     return report.select("pmid", error.alias("error"), "affiliations_filled", "affiliations_missing", F.coalesce(F.size("_refs"), F.lit(0)).alias("references_resolved"), "references_total", "warnings")
 
 

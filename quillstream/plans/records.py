@@ -140,7 +140,8 @@ def xml_valid_types(spark, d):
 @query()
 def pdf_text(spark, d):
     """Texts of PDF files made of the papers' titles, through the extractor seam; broken files give errors."""
-    from quillstream.sources.files import convert_pdfs, plain_pdf_text
+    from quillstream.sources.files import convert_pdfs
+    from quillstream.sources.pdf import plain_pdf_text
 
     head = F.when(F.col("paper_id") % 7 == 0, "broken").otherwise(F.lit("%PDF-1.4\n"))
     content = F.encode(F.concat(head, F.lit("BT ("), F.regexp_replace(F.coalesce("stem", F.lit("")), r"[()\\]", ""), F.lit(") Tj ET")), "UTF-8")

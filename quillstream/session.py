@@ -36,10 +36,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; without that setting (tests) a temporary one."""
+    """Use the shared folder of ``spark.checkpoint.dir``; without that setting a temporary one on a local master, and an error on a cluster."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quillstream-")
     spark.sparkContext.setCheckpointDir(shared)
 
 

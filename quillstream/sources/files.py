@@ -72,19 +72,36 @@ def store_json(rows: Iterator[dict], one_line: tuple[str, ...] = ("publication_t
     yield "}\n" if first else "\n}\n"
 
 
+def open_output(path: str):
+    """A binary file for writing on the file system that ``path`` names (an object store as well), by default the local one."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        return system.open_output_stream(name)
+    return open(path, "wb")  # noqa: SIM115
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Append each row as a line of JSON to the folder ``path``, from the tasks that have them."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
+
+
 def write_store(store: DataFrame, path: str) -> None:
     """Write a store as one file in the order of ``ord``, streaming one record at a time through the driver."""
     fields = [f.name for f in RECORD.fields if f.name in store.columns]
     rows = (r.asDict(recursive=True) for r in store.orderBy("ord").select("pmid", *fields).toLocalIterator())
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(store_json(rows))
+    with open_output(path) as f:
+        for piece in store_json(rows):
+            f.write(piece.encode())
 
 
 def write_journals(journals: DataFrame, path: str) -> None:
     """Write a journal catalogue as one file, in the order of ``first_ord``."""
-    with open(path, "w", encoding="utf-8") as f:
-        rows = journals.orderBy("first_ord").select("nlmid", "journaltitle", "medabbr").toLocalIterator()
-        f.writelines(store_json({"pmid": r.nlmid, "JournalTitle": r.journaltitle, "MedAbbr": r.medabbr} for r in rows))
+    rows = journals.orderBy("first_ord").select("nlmid", "journaltitle", "medabbr").toLocalIterator()
+    with open_output(path) as f:
+        for piece in store_json({"pmid": r.nlmid, "JournalTitle": r.journaltitle, "MedAbbr": r.medabbr} for r in rows):
+            f.write(piece.encode())
 
 
 def _empty_files(spark: SparkSession, folder: str) -> list[str]:
@@ -110,9 +127,15 @@ def read_extracts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.regexp_replace(F.url_decode(F.replace("_f", F.lit("+"), F.lit("%2B"))), r"\.json$", "").alias("stem"), "authors", "references")
 
 
+def missing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths where there is no file."""
+    return [p for p in paths if not _exists(spark, p)]
+
+
 def read_pdfs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, length, content of the PDF files that exist; the others are left out."""
-    there = [p for p in paths if _exists(spark, p)]
+    """path, length, content of the PDF files that exist; the others are left out (``missing`` names them)."""
+    lost = set(missing(spark, paths))
+    there = [p for p in paths if p not in lost]
     if not there:
         return spark.createDataFrame([], "path string, length long, content binary")
     return spark.read.format("binaryFile").load(there).select("path", "length", "content")
@@ -140,9 +163,25 @@ def convert_pdfs(pdfs: DataFrame, extract: Callable[[bytes], str], fallback: Cal
     return pdfs.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
-def plain_pdf_text(content: bytes) -> str:
-    """The text of uncompressed text operators in a PDF: an extractor for tests and simple files."""
-    if not content.startswith(b"%PDF"):
-        raise ValueError("no PDF")
-    found = re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|')", content)
-    return "\n".join(re.sub(rb"\\(.)", rb"\1", x).decode("latin-1") for x in found)
+def write_markdown(converted: DataFrame) -> DataFrame:
+    """path, target, error: the texts of ``convert_pdfs`` written beside their files, as ``{stem}.md``.
+
+    Each task writes its own texts, through the file system that the path names. A file that can't be written is an
+    error and doesn't stop the others; files that couldn't be converted keep their error and are not written.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text, error in zip(b["path"], b["text"], b["error"]):
+                target = re.sub(r"\.[^./]*$", "", path) + ".md"
+                if error is None:
+                    try:
+                        with open_output(target) as f:
+                            f.write(text.encode())
+                    except Exception as e:  # noqa: BLE001
+                        error = f"{type(e).__name__}: {e}"
+                rows.append((path, None if error is not None else target, error))
+            yield pd.DataFrame(rows, columns=["path", "target", "error"])
+
+    return converted.select("path", "text", "error").mapInPandas(run, "path string, target string, error string")

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillstream.sources import files
+from quillstream.sources import files, pdf
 from quillstream.sources.remote import RecordSource, SearchSource
 
 
@@ -63,9 +63,9 @@ def test_pdfs(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\nBT (Hello \\(x\\)) Tj ET")
     (tmp_path / "b.pdf").write_bytes(b"junk")
     pdfs = files.read_pdfs(spark, [str(tmp_path / "a.pdf"), str(tmp_path / "b.pdf"), str(tmp_path / "missing.pdf")])
-    got = {r.path.rpartition("/")[2]: (r.text, r.error) for r in files.convert_pdfs(pdfs, files.plain_pdf_text).collect()}
+    got = {r.path.rpartition("/")[2]: (r.text, r.error) for r in files.convert_pdfs(pdfs, pdf.plain_pdf_text).collect()}
     assert got == {"a.pdf": ("Hello (x)", None), "b.pdf": (None, "ValueError: no PDF")}
-    got = files.convert_pdfs(pdfs.where(F.col("path").endswith("a.pdf")), files.plain_pdf_text, lambda b: "other").first()
+    got = files.convert_pdfs(pdfs.where(F.col("path").endswith("a.pdf")), pdf.plain_pdf_text, lambda b: "other").first()
     assert got.text == "other"
     assert files.read_pdfs(spark, ["/nowhere.pdf"]).count() == 0
 
