@@ -461,8 +461,10 @@ def analyse(papers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     single = own.select(F.explode("words").alias("word"))
     counts = cut(single.unionAll(plain).unionAll(compounds).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     hyphens = cut(_join_words(lines, counts))
-    around = F.transform("words", lambda w, i: F.struct(i.alias("at"), F.when(i > 0, F.get("words", i - 1)).alias("before"), w.alias("word"), F.get("words", i + 1).alias("after")))
-    inside = own.select("paper_id", "line_no", F.inline(around))
+    edge = F.array(F.lit(None).cast("string"))
+    before, after = F.concat(edge, F.slice("words", 1, F.size("words") - 1)), F.concat(F.slice("words", 2, F.size("words")), edge)
+    around = own.select("paper_id", "line_no", F.posexplode(F.arrays_zip(before.alias("before"), F.col("words").alias("word"), after.alias("after"))).alias("at", "t"))
+    inside = around.select("paper_id", "line_no", "at", "t.*")
     joined = hyphens.select("paper_id", "line_no", F.posexplode(F.when(F.col("divided"), F.array("word")).otherwise(F.split("kept", "-"))).alias("at", "word"))
     none = F.lit(None).cast("string")
     tokens = inside.unionByName(joined.select("paper_id", "line_no", (-1 - F.col("at")).alias("at"), none.alias("before"), "word", none.alias("after")))
