@@ -60,8 +60,11 @@ def first_hits(queries: DataFrame, index: DataFrame, most: int = 20, key: str =
     return search(queries, index, key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", F.col("rank").cast("long").alias("rank"), "pmid")
 
 
-def ladder(citations: DataFrame, key: str, groups: str, raw: str) -> DataFrame:
-    """Every query that the ladder may ask for a citation: key, rung, ord, label, query.
+RUNGS = (0, 1, 2, 3, 9)
+
+
+def ladder(citations: DataFrame, key: str, groups: str, raw: str, rungs: tuple[int, ...] = RUNGS) -> DataFrame:
+    """Every query that the ladder may ask for a citation on ``rungs``: key, rung, ord, label, query.
 
     Rung 0 is the whole query, 1 leaves out one group, 2 two groups, 3 single parts of a group (with or without
     another whole group), 9 is the citation as it is. ``label`` names what was left out. Empty queries of rungs 1 to 3 are
@@ -70,9 +73,12 @@ def ladder(citations: DataFrame, key: str, groups: str, raw: str) -> DataFrame:
     g = F.col(groups)
     some = lambda x: F.size(g[x]) > 0
     row = lambda rung, order, label, query, when=None: F.when(when if when is not None else F.lit(True), F.struct(F.lit(rung).alias("rung"), order.cast("int").alias("ord"), F.lit(label).alias("label"), query.alias("query")))
-    fixed = [row(0, F.lit(0), "", join_groups(g)), row(9, F.lit(0), "", F.col(raw))]
-    fixed += [row(1, F.lit(i), x, join_groups(g, (x,)), some(x)) for i, x in enumerate(GROUPS)]
-    fixed += [row(2, F.lit(i), f"{x}|{y}", join_groups(g, (x, y)), some(x) | some(y)) for i, (x, y) in enumerate(PAIRS)]
+    fixed = {
+        0: [row(0, F.lit(0), "", join_groups(g))],
+        1: [row(1, F.lit(i), x, join_groups(g, (x,)), some(x)) for i, x in enumerate(GROUPS)],
+        2: [row(2, F.lit(i), f"{x}|{y}", join_groups(g, (x, y)), some(x) | some(y)) for i, (x, y) in enumerate(PAIRS)],
+        9: [row(9, F.lit(0), "", F.col(raw))],
+    }
 
     def parts(base: int, label: str, refined: str, without: tuple[str, ...]) -> Column:
         places = F.when(some(refined), F.sequence(F.lit(0), F.size(g[refined]) - 1)).otherwise(F.array().cast("array<int>"))
@@ -81,7 +87,8 @@ def ladder(citations: DataFrame, key: str, groups: str, raw: str) -> DataFrame:
     moving = [parts(1000 * i, x, x, ()) for i, x in enumerate(GROUPS)]
     for i, (x, y) in enumerate(PAIRS):
         moving += [parts(10_000 + 2000 * i, f"{x}|{y}", y, (x,)), parts(11_000 + 2000 * i, f"{x}|{y}", x, (y,))]
-    every = F.concat(F.array(*fixed), *moving)
+    still = [r for rung in rungs if rung in fixed for r in fixed[rung]]
+    every = F.concat(*([F.array(*still)] if still else []), *(moving if 3 in rungs else []))
     asked = citations.select(key, F.explode(F.filter(every, lambda r: r.isNotNull())).alias("r")).select(key, "r.*")
     return asked.where(F.col("rung").isin(0, 9) | (F.col("query") != ""))
 
@@ -127,16 +134,18 @@ def resolve(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.when(won, F.col("w.hit")).alias("pmid"), F.when(won, F.col("w.rung")).alias("rung"), F.when(~won, warning).alias("warning"))
 
 
-def climb(asked: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str, tries: int = 2) -> DataFrame:
-    """``resolve`` against a service that should be asked as little as possible: rung after rung, only for what is still open.
+def climb(citations: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str, groups: str, raw: str, tries: int = 2) -> DataFrame:
+    """The ladder against a service that should be asked as little as possible: rung after rung, only for what is still open.
+
+    The queries of a rung are made only for the citations that get there, most of which stop at the first one.
 
     ``ask`` answers a DataFrame of different queries with (query, hits, pmid), and ``error`` where a query failed. A citation
     with a failed query climbs its whole ladder again, ``tries`` times in all; if it fails each time its warning is ``search error``
     with the error, and the others go on. An ``ask`` that fails altogether fails all its queries.
     """
-    out, todo = None, asked
+    out, todo = None, citations
     for attempt in range(1, tries + 1):
-        found, failed = _climb_once(todo, ask, key)
+        found, failed = _climb_once(todo, ask, key, groups, raw)
         lost = failed.select(key)
         done = found.join(lost, key, "left_anti")
         out = done if out is None else out.unionByName(done)
@@ -148,25 +157,37 @@ def climb(asked: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str, tri
         todo = cut(todo.join(lost, key, "left_semi"))
 
 
-def _climb_once(asked: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
+def _climb_once(citations: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str, groups: str, raw: str) -> tuple[DataFrame, DataFrame]:
     """(``resolve`` of all citations, key and error of those with a failed query)."""
-    spark = asked.sparkSession
+    spark = citations.sparkSession
     answers = spark.createDataFrame([], "query string, hits long, pmid string")
-    failed = cut(asked.select(key, F.lit("").alias("error")).where("false"))
-    for rung in (0, 1, 2, 3, 9):
-        rows = _opened(asked, answers, key)
-        done = rows.where(F.col("open") & (F.col("n") == 1)).select(key).unionAll(failed.select(key)).distinct()
-        live = rows.where(F.col("open") & (F.col("rung") == rung)).join(done, key, "left_anti").select(key, "query")
+    failed = cut(citations.select(key, F.lit("").alias("error")).where("false"))
+    asked, here = None, citations
+    for rung in RUNGS:
+        part = cut(ladder(here, key, groups, raw, (rung,)))
+        asked = part if asked is None else asked.unionAll(part)
+        live = _open_on(asked, answers, key).where(F.col("rung") == rung).join(failed, key, "left_anti").select(key, "query")
         now = cut(live.select("query").distinct().join(answers.select("query"), "query", "left_anti"))
-        if now.isEmpty():
-            continue
-        try:
-            got = ask(now)
-            got = cut(got if "error" in got.columns else got.withColumn("error", F.lit(None).cast("string")))
-        except Exception as e:  # noqa: BLE001
-            said = f"{type(e).__name__}: {e}".split("\n")[0][:200]
-            got = now.select("query", F.lit(None).cast("long").alias("hits"), F.lit(None).cast("string").alias("pmid"), F.lit(said).alias("error"))
-        bad = got.where("error is not null").select("query", "error")
-        failed = cut(failed.unionAll(live.join(bad, "query").groupBy(key).agg(F.min("error").alias("error"))))
-        answers = cut(answers.unionByName(got.where("error is null").select("query", "hits", "pmid")))
+        if not now.isEmpty():
+            try:
+                got = ask(now)
+                got = cut(got if "error" in got.columns else got.withColumn("error", F.lit(None).cast("string")))
+            except Exception as e:  # noqa: BLE001
+                said = f"{type(e).__name__}: {e}".split("\n")[0][:200]
+                got = now.select("query", F.lit(None).cast("long").alias("hits"), F.lit(None).cast("string").alias("pmid"), F.lit(said).alias("error"))
+            bad = got.where("error is not null").select("query", "error")
+            failed = cut(failed.unionAll(live.join(bad, "query").groupBy(key).agg(F.min("error").alias("error"))))
+            answers = cut(answers.unionByName(got.where("error is null").select("query", "hits", "pmid")))
+        if rung != RUNGS[-1]:
+            # the rungs in the middle are for those whose whole query finds nothing, the last one for all that are still open
+            rows = cut(_opened(asked, answers, key))
+            won = rows.where(F.col("open") & (F.col("n") == 1)).select(key).unionAll(failed.select(key))
+            stay = rows.where(F.col("q0") != "") if rung == RUNGS[-2] else rows.where((F.col("q0") != "") & (F.col("c0") == 0))
+            here = cut(citations.join(stay.select(key).distinct(), key, "left_semi").join(won, key, "left_anti"))
     return resolve(asked, answers, key), failed
+
+
+def _open_on(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """The rows that the ladder gets to, of citations without a unique hit so far."""
+    rows = cut(_opened(asked, answers, key))
+    return rows.where("open").join(rows.where(F.col("open") & (F.col("n") == 1)).select(key).distinct(), key, "left_anti")

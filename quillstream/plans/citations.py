@@ -274,6 +274,41 @@ def search_ids_top20(spark, d):
     return X.first_hits(_field_queries(s), X.postings(s))
 
 
+def raw_citations(spark, d):
+    """cite_id and a citation of every row of cited_works, in four styles; missing fields are left out, as people leave them out."""
+    c = table(spark, d, "cited_works")
+    has = lambda x, before="", after="": F.when(F.trim(F.coalesce(x, F.lit(""))) != "", F.concat(F.lit(before), x, F.lit(after))).otherwise("")
+    a, t, j, y, v, p = (F.col(x) for x in ("author_text", "title", "journal", "year", "volume", "pages"))
+    styles = (
+        (has(a, "", ". "), has(t, "", ". "), has(j, "", ". "), has(y, "", ";"), has(v), has(p, ":"), F.lit(".")),
+        (has(a), has(y, " (", "). "), has(t, "", ". "), has(j), has(v, ", "), has(p, ", "), F.lit(".")),
+        (has(a, "", ". "), has(y, "(", ") "), has(t, "", ". "), has(j), has(v, " "), has(p, ": "), F.lit(". doi:10.1/x")),
+        (has(a, "", ": "), has(t, "", ". "), has(j, "", ". "), has(v), has(p, ":"), has(y, " (", ")")),
+    )
+    k = F.col("cite_id") % 4
+    return c.select("cite_id", F.trim(F.when(k == 0, F.concat(*styles[0])).when(k == 1, F.concat(*styles[1])).when(k == 2, F.concat(*styles[2])).otherwise(F.concat(*styles[3]))).alias("citation"))
+
+
+def _parsed_raw(spark, d):
+    from quillstream.operators.citations import parse
+
+    return parse(raw_citations(spark, d), "cite_id", "citation", cut(J.index(table(spark, d, "journals"))))
+
+
+@query()
+def parse_citation_raw(spark, d):
+    """The query groups read from every work as it is cited, null where no journal is found."""
+    return _parsed_raw(spark, d).select("cite_id", *[F.array_join(f"groups.{x}", " AND ").alias(x) for x in C.GROUPS])
+
+
+@query()
+def search_ladder_raw(spark, d):
+    """The outcome of the ladder over the store's own postings for every work as it is cited."""
+    p = cut(_parsed_raw(spark, d).where("groups is not null").join(raw_citations(spark, d), "cite_id"))
+    index = cut(X.postings(store_of(spark, d)))
+    return X.climb(p, lambda q: X.unique_hits(q, index), "cite_id", "groups", "citation")
+
+
 def _asked(spark, d):
     """The ladder of every parsed citation, with answers made up from the queries so that all outcomes occur."""
     p = _parsed(spark, d).where("groups is not null")

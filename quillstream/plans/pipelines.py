@@ -131,11 +131,10 @@ def merge(spark: SparkSession, root: str, journals: DataFrame, ask: Callable[[Da
     cites = todo.where("needs_ref").select("pmid", "stem").join(extracts.select("stem", F.posexplode("references").alias("i", "citation")), "stem")
     cites = cut(cites.withColumn("key", F.concat_ws("#", "pmid", "i")))
     parsed = cut(parse(cites, "key", "citation", cut(J.index(journals))))
-    asked = cut(S.ladder(parsed.where("groups is not null").join(cites.select("key", "citation"), "key"), "key", "groups", "citation"))
     if ask is None:
         index = cut(S.postings(old))
         ask = lambda q: S.unique_hits(q, index)
-    found = cut(S.climb(asked, ask, "key"))
+    found = cut(S.climb(parsed.where("groups is not null").join(cites.select("key", "citation"), "key"), ask, "key", "groups", "citation"))
     per = cut(_resolved(cites, found))
     new = old.join(authors, "pmid", "left").join(per, "pmid", "left")
     new = new.withColumn("authors", F.coalesce("_authors", "authors")).withColumn("reference_pmids", F.when(F.size("_refs") > 0, F.col("_refs")).otherwise(F.col("reference_pmids")))
@@ -160,6 +159,11 @@ def _resolved(cites: DataFrame, found: DataFrame) -> DataFrame:
     return per.select("pmid", pick("_hit").alias("_refs"), "references_total", pick("said").alias("warnings"))
 
 
+def write_index(texts: DataFrame, path: str, make: Callable = V.hashed_encoder) -> None:
+    """Encode the chunks of ``texts`` (pmid, text) and write them as the index, in place of an older one."""
+    V.encode(V.chunk_rows(texts), "chunk", make).select("chunk_id", "pmid", "chunk_index", "embedding").write.mode("overwrite").parquet(path)
+
+
 def build_index(spark: SparkSession, root: str, make: Callable = V.hashed_encoder) -> DataFrame:
     """Index the texts of the collection; returns papers by full text or abstract only."""
     refs = cut(store(spark, root).withColumn("stem", T.citation_key(F.col("citation_in_text"), F.col("journal"), F.col("pmid"))))
@@ -167,7 +171,7 @@ def build_index(spark: SparkSession, root: str, make: Callable = V.hashed_encode
         raise ValueError("no papers in the store")
     papers = files.read_texts(spark, f"{root}/papers").withColumn("paper_id", F.lit(0))
     texts = cut(R.index_text(refs, R.first_text(papers)))
-    V.encode(V.chunk_rows(texts), "chunk", make).select("chunk_id", "pmid", "chunk_index", "embedding").write.mode("overwrite").parquet(f"{root}/index")
+    write_index(texts, f"{root}/index", make)
     return texts.groupBy("is_full").agg(F.count(F.lit(1)).alias("papers"))
 
 

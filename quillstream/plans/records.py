@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import xml as X
-from quillstream.plans.sql import LAST
+from quillstream.plans.sql import CUR, LAST, words
 from quillstream.session import table
 
 QUERIES: dict = {}
@@ -137,36 +137,67 @@ def xml_valid_types(spark, d):
     return _projected(spark, d, "publication_types").where("valid").select("ref_id", F.array_join("publication_types", "|").alias("types"), X.is_kept(F.col("publication_types")).alias("kept"))
 
 
-@query()
+@query("SELECT '/papers/' || paper_id || '.pdf' AS path, full_text AS text, CAST(NULL AS VARCHAR) AS error FROM papers WHERE full_text IS NOT NULL")
 def pdf_text(spark, d):
-    """Texts of PDF files made of the papers' titles, through the extractor seam; broken files give errors."""
+    """The texts of all papers read back from PDF files made of them."""
     from quillstream.sources.files import convert_pdfs
     from quillstream.sources.pdf import plain_pdf_text
 
-    head = F.when(F.col("paper_id") % 7 == 0, "broken").otherwise(F.lit("%PDF-1.4\n"))
-    content = F.encode(F.concat(head, F.lit("BT ("), F.regexp_replace(F.coalesce("stem", F.lit("")), r"[()\\]", ""), F.lit(") Tj ET")), "UTF-8")
-    pdfs = table(spark, d, "papers").select(F.concat(F.lit("/papers/"), "paper_id", F.lit(".pdf")).alias("path"), content.alias("content"))
-    return convert_pdfs(pdfs, plain_pdf_text)
+    shown = F.transform(F.split("full_text", "\n"), lambda x: F.concat(F.lit("<FEFF"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj T*")))
+    content = F.encode(F.concat(F.lit("%PDF-1.4\n<< >>\nstream\nBT 12 TL\n"), F.array_join(shown, "\n"), F.lit("\nET\nendstream\n")), "UTF-8")
+    papers = table(spark, d, "papers").where("full_text is not null")
+    return convert_pdfs(papers.select(F.concat(F.lit("/papers/"), "paper_id", F.lit(".pdf")).alias("path"), content.alias("content")), plain_pdf_text)
 
 
-@query()
+@query("SELECT path, true AS missing FROM (SELECT DISTINCT '/nowhere/' || ext || '.pdf' AS path FROM papers WHERE ext IS NOT NULL)")
+def pdf_scan(spark, d):
+    """PDF files that are named but don't exist: reported, and not read."""
+    from quillstream.sources.files import missing, read_pdfs
+
+    named = [f"/nowhere/{r.ext}.pdf" for r in table(spark, d, "papers").where("ext is not null").select("ext").distinct().collect()]
+    lost = spark.createDataFrame([(p, True) for p in missing(spark, named)], "path string, missing boolean")
+    return lost.join(read_pdfs(spark, named).select("path"), "path", "left_anti")
+
+
+#: Chunks ``c`` (chunk_id, chunk) to the embeddings of the built-in encoder, a row for each dimension that isn't 0.
+HASHED = """t AS (SELECT chunk_id, CAST('0x' || left(md5(x), 8) AS BIGINT) AS h FROM (SELECT chunk_id, unnest(string_split(lower(chunk), ' ')) AS x FROM c)),
+v AS (SELECT chunk_id, h % 64 AS dim, sum(CASE WHEN (h // 65536) % 2 = 1 THEN 1 ELSE -1 END) AS s FROM t GROUP BY ALL), n AS (SELECT chunk_id, sqrt(sum(s * s)) AS n FROM v GROUP BY 1)
+SELECT chunk_id, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(s / n AS FLOAT) AS DOUBLE), 6) AS value FROM v JOIN n USING (chunk_id) WHERE s <> 0"""
+
+
+def dimensions(rows: DataFrame) -> DataFrame:
+    """chunk_id, dim, value of embeddings, as ``HASHED`` has them."""
+    each = rows.select("chunk_id", F.posexplode("embedding").alias("dim", "v")).where("v <> 0")
+    return each.select("chunk_id", "dim", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {words('text')} AS ws FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, s, array_to_string(list_slice(ws, s + 1, s + 400), ' ') AS chunk FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 320)) AS s FROM w)),
+c AS (SELECT doc_id || '::chunk' || (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1) AS chunk_id, chunk FROM p WHERE length(chunk) > 60), {HASHED}""")
 def embed_chunks(spark, d):
     """Embeddings of document chunks from the built-in encoder."""
     from quillstream.operators.vector import chunk_rows, encode, hashed_encoder
 
     texts = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("pmid"), "text")
-    return encode(chunk_rows(texts), "chunk", hashed_encoder).select("chunk_id", "embedding")
+    return dimensions(encode(chunk_rows(texts), "chunk", hashed_encoder))
 
 
-@query()
+@query(f"""WITH {CUR} SELECT pmid, ref_id AS ord, coalesce(citation_in_text, '') AS citation_in_text, coalesce(title, '') AS title, coalesce(abstract, '') AS abstract, authors IS NULL AS no_authors,
+ coalesce(array_to_string(list_transform(authors, lambda a: coalesce(a.author, '') || '=' || coalesce(array_to_string(list_transform(a.affiliation, lambda f: coalesce(f, '')), ';'), '')), '|'), '') AS authors,
+ coalesce(array_to_string(list_transform(keywords, lambda k: coalesce(k, '')), '|'), '') AS keywords, coalesce(array_to_string(list_transform(reference_pmids, lambda k: coalesce(k, '')), '|'), '') AS refs FROM cur""")
 def refs_export_json(spark, d):
-    """Each record of the store as the JSON of its file entry."""
+    """The store written as its file and read back."""
     from quillstream.operators.store import current
+    from quillstream.session import scratch
+    from quillstream.sources.files import SCALARS, read_store, write_store
 
     r = current(table(spark, d, "refs")).withColumnRenamed("reference_pmids", "references")
-    fields = ("citation_in_text", "journal", "volume", "issue", "year", "title", "pages", "doi", "abstract")
-    body = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in fields], "authors", "publication_types", "keywords", "references")
-    return r.select("pmid", F.to_json(body).alias("json"))
+    path = scratch(spark, "refs.json")
+    write_store(r.select("pmid", F.col("ref_id").alias("ord"), *[F.coalesce(c, F.lit("")).alias(c) for c in SCALARS], "authors", "publication_types", "keywords", "references"), path)
+    back = read_store(spark, path).join(r.select("pmid", "ref_id"), "pmid")
+    text = lambda a: F.coalesce(F.array_join(F.transform(a, lambda x: F.coalesce(x, F.lit(""))), "|"), F.lit(""))
+    who = F.transform("authors", lambda a: F.concat(F.coalesce(a["author"], F.lit("")), F.lit("="), F.coalesce(F.array_join(F.transform(a["affiliation"], lambda f: F.coalesce(f, F.lit(""))), ";"), F.lit(""))))
+    return back.select("pmid", F.col("ref_id").alias("ord"), "citation_in_text", "title", "abstract", F.col("authors").isNull().alias("no_authors"), F.coalesce(F.array_join(who, "|"), F.lit("")).alias("authors"), text(F.col("keywords")).alias("keywords"), text(F.col("references")).alias("refs"))
 
 
 @query(f"WITH {LAST} SELECT nlmid, CAST(to_json(struct_pack(JournalTitle := journaltitle, MedAbbr := medabbr)) AS VARCHAR) AS json FROM cat")

@@ -9,8 +9,9 @@ from quillstream.functions import text as T
 from quillstream.operators import journals as J
 from quillstream.operators import store as S
 from quillstream.operators import vector as V
+from quillstream.plans.records import HASHED, dimensions
 from quillstream.plans.sql import CUR, FIRST_TEXT, LAST, PATHS, SPACE, STEM, words
-from quillstream.session import table
+from quillstream.session import cut, scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -322,11 +323,18 @@ def url_quote(spark, d):
     return table(spark, d, "refs").where("title is not null").select("ref_id", T.url_quote(F.col("title")).alias("quoted"))
 
 
-@query()
+@query(f"""WITH {_INDEX}, w AS (SELECT pmid, {words('text')} AS ws FROM it),
+p AS (SELECT pmid, s, array_to_string(list_slice(ws, s + 1, s + 400), ' ') AS chunk FROM (SELECT pmid, ws, unnest(range(0, len(ws), 320)) AS s FROM w)),
+c AS (SELECT pmid || '::chunk' || (row_number() OVER (PARTITION BY pmid ORDER BY s) - 1) AS chunk_id, chunk FROM p WHERE length(chunk) > 60), {HASHED}""")
 def index_build(spark, d):
-    """The vector index of the store's texts: chunks with embeddings, from the built-in encoder."""
-    rows = V.chunk_rows(_texts(spark, d))
-    return V.encode(rows, "chunk", V.hashed_encoder).select("chunk_id", "pmid", "chunk_index", "embedding")
+    """The vector index of the store's texts, written over an older one and read back."""
+    from quillstream.plans.pipelines import write_index
+
+    path = scratch(spark, "index")
+    texts = cut(_texts(spark, d))
+    write_index(texts.where("is_full"), path)
+    write_index(texts, path)
+    return dimensions(spark.read.parquet(path))
 
 
 @query(f"""WITH {_INDEX}, w AS (SELECT pmid, {words('text')} AS ws FROM it),

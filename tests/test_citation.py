@@ -68,6 +68,31 @@ def test_journal_match(spark):
     assert found(spark, "J Things Matters. 1:2 in Things of. 12:3")[1] == "J Things Matters"
 
 
+def test_golden_citations(spark):
+    """Citations as people write them, with the groups that a reader would make of them."""
+    rows = [
+        ("Smith AB, Jones C, et al. Cells in mice. J Things Matters. 1999;12(3):45-67.", ["Smith", "Jones"], "Cells mice", "J Things Matters", ["1999", "12[vi]", "3[ip]", "45[pg]"]),
+        ("Smith, A. B., & Jones, C. (1999). Cells in mice. J Things Matters, 12, 45-67.", ["Smith", "Jones"], "Cells mice", "J Things Matters", ["1999", "12[vi]", "45[pg]"]),
+        ("A. B. Smith and C. Jones. Cells in mice. J. Things Matters 12: 45 (2001). doi:10.1/x", ["Smith", "Jones"], "Cells mice", "J Things Matters", ["2001", "12[vi]", "45[pg]"]),
+        ("Cells in mice. Proc U.S.A. 45", [], "Cells mice", "Proc U S A", ["45[pg]"]),
+        ("Smith A. Cells in mice. J Things Matters. 1, 2, 3, 4", ["Smith"], "Cells mice", "J Things Matters", []),
+        ("Smith A. Cells in mice. J Things Matters. 12:45–67", ["Smith"], "Cells mice", "J Things Matters", ["12[vi]", "45–67[pg]"]),
+        ("Smith ABCD, Jones MacD, Brown E. Cells in mice. J Things Matters. 12:45", ["Brown"], "Cells mice", "J Things Matters", ["12[vi]", "45[pg]"]),
+        ("Smith A. Cells in mice. Unknown Letters. 12:45", None, None, None, None),
+        ("", None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "k long, c string")
+    got = {x.k: x.groups for x in citations.parse(df, "k", "c", _index(spark)).collect()}
+    for i, (text, names, title, journal, numbers) in enumerate(rows):
+        g = got[i]
+        if journal is None:
+            assert g is None, text
+            continue
+        assert g.authors == [f"{n}[au]" for n in names], (text, g)
+        assert g.title == [title] and g.journal == [f"{journal}[ta]"], (text, g)
+        assert g.yvip == [f"{n}[dp]" if n.isdigit() and len(n) == 4 else n for n in numbers], (text, g)
+
+
 def test_parse(spark):
     df = spark.createDataFrame([(1, "Smith AB, Jones C. (1999). A good title of it. J Things Matters. 12(3):45-6."), (2, "Smith A. No journal. 1:2"), (3, None)], "k long, c string")
     r = {x.k: x.groups for x in citations.parse(df, "k", "c", _index(spark)).collect()}
