@@ -1,6 +1,6 @@
 """Whole pipelines over a collection: ingest, validation, merging of extracts, indexing, search.
 
-A collection is a folder: ``refs`` (versions of the store in Parquet), ``papers`` (files by stem), ``index`` (chunk
+A collection is a folder: ``refs`` (the store in buckets of Parquet files), ``papers`` (files by stem), ``index`` (chunk
 vectors in Parquet). Status events come back as DataFrames; nothing is printed here.
 """
 
@@ -20,7 +20,7 @@ from quillstream.operators import vector as V
 from quillstream.operators.citations import parse
 from quillstream.session import cut
 from quillstream.sources import files
-from quillstream.streaming.ingest import current_version, read_store
+from quillstream.streaming.ingest import put, read_store, replace
 
 STORE = "pmid string, citation_in_text string, journal string, volume string, issue string, year string, title string, pages string, doi string, abstract string, authors array<struct<author:string,affiliation:array<string>>>, publication_types array<string>, keywords array<string>, reference_pmids array<string>, ord long"
 
@@ -32,11 +32,8 @@ def store(spark: SparkSession, root: str) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str) -> None:
-    """Make ``df`` the store: written beside the old version, then pointed to."""
-    spark = df.sparkSession
-    v = (current_version(spark, f"{root}/refs") or 0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/refs/v={v}")
-    spark.createDataFrame([(v,)], "v long").coalesce(1).write.mode("overwrite").json(f"{root}/refs/_current")
+    """Make ``df`` the store."""
+    replace(df, f"{root}/refs")
 
 
 def fetch(ids: DataFrame, transport: str | None = None, spacing: float = 0.4, partitions: int = 1) -> DataFrame:
@@ -74,7 +71,7 @@ def ingest(spark: SparkSession, root: str, ids: list[str], get: Callable[[DataFr
     bare = rows.withColumn("authors", F.transform("authors", lambda a: F.struct(a["author"].alias("author"), F.array().cast("array<string>").alias("affiliation"))))
     bare = cut(R.last_wins(bare, ["pmid"], "ord").drop("first_ord").select(*old.columns))
     if not bare.isEmpty():
-        publish(R.upsert(old, bare, "pmid"), root)
+        put(bare, f"{root}/refs")
         stems = _stems(spark, root, "pdf")
         lost = bare.withColumn("stem", T.citation_key(F.col("citation_in_text"), F.col("journal"), F.col("pmid"))).join(stems, "stem", "left_anti")
         lost.select(F.concat("stem", F.lit("\n"), "doi", F.lit("\n")).alias("value")).write.mode("append").text(f"{root}/temp_refs")
@@ -138,7 +135,8 @@ def merge(spark: SparkSession, root: str, journals: DataFrame, ask: Callable[[Da
     per = cut(_resolved(cites, found))
     new = old.join(authors, "pmid", "left").join(per, "pmid", "left")
     new = new.withColumn("authors", F.coalesce("_authors", "authors")).withColumn("reference_pmids", F.when(F.size("_refs") > 0, F.col("_refs")).otherwise(F.col("reference_pmids")))
-    publish(cut(new.select(*store(spark, root).columns)), root)
+    changed = new.where(F.col("_authors").isNotNull() | (F.size("_refs") > 0)).select(*[c for c in old.columns if c != "stem"])
+    put(cut(changed), f"{root}/refs")
     counted = R.fill_counters(filled, "pmid")
     there = extracts.select("stem", F.lit(True).alias("has_file")).distinct()
     report = todo.select("pmid", "stem").join(there, "stem", "left").join(counted, "pmid", "left").join(per, "pmid", "left")

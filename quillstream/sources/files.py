@@ -76,10 +76,10 @@ def open_output(path: str):
     """A binary file for writing on the file system that ``path`` names (an object store as well), by default the local one."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    if "://" in path and not path.startswith("file:"):
+        system, name = fs.FileSystem.from_uri(path)
         return system.open_output_stream(name)
-    return open(path, "wb")  # noqa: SIM115
+    return open(re.sub(r"^file:/+", "/", path), "wb")  # noqa: SIM115
 
 
 def append_lines(rows: DataFrame, path: str) -> None:

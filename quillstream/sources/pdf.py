@@ -56,12 +56,12 @@ def _contents(content: bytes) -> Iterator[bytes]:
 def _lines(stream: bytes) -> Iterator[tuple[str, float, float]]:
     """(text, font size, step from the line before) of each line of a stream."""
     text, size, lead, y, last, held, array = "", 1.0, 0.0, 0.0, None, [], None
-    started, scale = False, 1.0
+    started, scale, shown = False, 1.0, 1.0
 
     def line():
-        nonlocal text, last, started
+        nonlocal text, last, started, shown
         step = abs(last - y) if last is not None else 0.0
-        out = (text, size * scale, step)
+        out = (text, shown, step)
         text, last, started = "", y, False
         return out
 
@@ -100,10 +100,10 @@ def _lines(stream: bytes) -> Iterator[tuple[str, float, float]]:
                 elif op != "ET":
                     y -= lead
             if op in ("Tj", "'", '"') and held and isinstance(held[-1], str):
-                text, started = text + held[-1], True
+                text, started, shown = text + held[-1], True, size * scale
             elif op == "TJ" and held and isinstance(held[-1], list):
                 text += "".join(x if isinstance(x, str) else " " if x < -SPACE else "" for x in held[-1])
-                started = True
+                started, shown = True, size * scale
             held = []
     if started:
         yield line()
@@ -120,7 +120,8 @@ def pdf_markdown(content: bytes) -> str:
     if not rows:
         return ""
     body = median(size for _, size, _ in rows)
-    usual = median([s for _, _, s in rows if s] or [0.0])
+    steps = sorted(s for _, _, s in rows if s)
+    usual = steps[len(steps) // 4] if steps else 0.0
     out: list[str] = []
     last = ""
     for text, size, step in rows:

@@ -46,6 +46,13 @@ def test_collection(spark, tmp_path):
     s = {r.pmid: r for r in P.store(spark, root).collect()}
     assert s["1"].reference_pmids == ["77"] and s["1"].authors[0].affiliation == ["U1"] and s["2"].reference_pmids == []
 
+    assert not (tmp_path / "merge_log").exists()
+    P.publish(P.store(spark, root).withColumn("reference_pmids", F.array().cast("array<string>")), root)
+    nothing = lambda q: q.select("query", F.lit(0).cast("long").alias("hits"), F.lit(None).cast("string").alias("pmid"))
+    P.merge(spark, root, js, nothing)
+    log = [json.loads(r.value) for r in spark.read.text(f"{root}/merge_log").collect()]
+    assert [(x["pmid"], x["file"]) for x in log] == [("1", "papers/Smith & Jones 1999 J X 1.json")] and "step 2" in log[0]["warnings"][0]
+
     with pytest.raises(FileNotFoundError):
         P.query_index(spark, root, "mice")
     (tmp_path / "papers" / "Smith & Jones 1999 J X 2.md").write_text("mice and men " * 30)

@@ -18,3 +18,17 @@ def test_salted_rank_is_a_permutation(spark):
 def test_cut_uses_the_shared_folder(spark):
     assert cut(spark.range(5)).count() == 5
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from quillstream.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": staticmethod(lambda key, default=None: default)})()})()
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session)

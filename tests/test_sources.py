@@ -81,3 +81,76 @@ def test_stream_into_store(spark, tmp_path):
         put(rows)
         into_store(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "ck")).awaitTermination()
     assert {(r.pmid, r.title) for r in read_store(spark, store).collect()} == {("1", "b"), ("2", "y"), ("3", "new")}
+
+
+def test_store_rewrites_only_touched_buckets(spark, tmp_path):
+    import pytest
+
+    from quillstream.streaming import ingest as I
+
+    store = str(tmp_path / "store")
+    rows = lambda xs: spark.createDataFrame(xs, "pmid string, title string")
+    assert I.read_store(spark, store) is None
+    I.put(rows([(str(i), "a") for i in range(50)]), store, buckets=8)
+    first = I.manifest(spark, store)
+    I.put(rows([("7", "b"), ("new", "c")]), store, buckets=8)
+    second = I.manifest(spark, store)
+    assert second["version"] == 2 and 1 <= sum(second["buckets"][b] == 2 for b in second["buckets"]) <= 2 and second["of"] == first["of"] == 8
+    got = {r.pmid: r.title for r in I.read_store(spark, store).collect()}
+    assert len(got) == 51 and got["7"] == "b" and got["new"] == "c" and got["8"] == "a"
+    # a writer that fails before its manifest leaves the store as it was; the next one takes its place
+    (tmp_path / "store" / "data" / "v=3").mkdir()
+    assert {r.pmid: r.title for r in I.read_store(spark, store).collect()} == got
+    I.put(rows([]), store)
+    assert I.manifest(spark, store) == second
+    with pytest.raises(FileExistsError):
+        I._publish(spark, store, second)
+    for k in range(4):
+        I.put(rows([("7", f"x{k}")]), store)
+    assert len(I._versions(spark, store)) == I.KEPT and {r.pmid: r.title for r in I.read_store(spark, store).collect()} == got | {"7": "x3"}
+    I.replace(rows([]), store)
+    assert I.read_store(spark, store).columns == ["pmid", "title"] and I.read_store(spark, store).count() == 0
+
+
+def test_pdf_extractor():
+    import zlib
+
+    page = b"BT /F1 20 Tf 72 700 Td (A Title) Tj /F1 10 Tf 0 -30 Td [(Wo) -20 (rds) -300 (of)] TJ 0 -12 Td (the first \\(para\\)graph.) Tj 0 -40 Td <FEFF00E900740065> Tj ET"
+    packed = zlib.compress(page)
+    content = b"%%PDF-1.5\n1 0 obj << /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream endobj\n2 0 obj << >> stream\nq 1 0 0 1 0 0 cm Q\nendstream"
+    assert pdf.plain_pdf_text(content) == "A Title\nWords of\nthe first (para)graph.\n\u00e9te"
+    assert pdf.pdf_markdown(content) == "# A Title\n\nWords of the first (para)graph.\n\n\u00e9te\n"
+    assert pdf.pdf_markdown(b"%PDF-1.4\n") == "" == pdf.plain_pdf_text(b"%PDF-1.4\n")
+
+
+def test_markdown_beside_the_file_and_the_command(spark, tmp_path, capsys):
+    from quillstream.cli import main
+
+    line = b"(Hello of some words that are many) Tj T*\n"
+    (tmp_path / "a b.pdf").write_bytes(b"%PDF-1.4\n<< >>\nstream\nBT 12 TL\n" + line * 200 + b"ET\nendstream")
+    (tmp_path / "bad.pdf").write_bytes(b"junk")
+    assert main([str(tmp_path), "convert", str(tmp_path / "a b.pdf"), str(tmp_path / "bad.pdf"), str(tmp_path / "none.pdf")]) == 0
+    said = capsys.readouterr()
+    assert "File not found:" in said.err and "none.pdf" in said.err and "ValueError: no PDF" in said.out
+    assert (tmp_path / "a b.md").read_text().count("Hello") == 200 and not (tmp_path / "bad.md").exists()
+
+
+def test_distributed_requests(spark):
+    from quillstream.sources.remote import fetch_records, search_all
+
+    ids = spark.createDataFrame([(str(i),) for i in (1, 2, 3)], "id string")
+    got = {r.id: (r.xml, r.error) for r in fetch_records(ids, "tests.test_sources:fake", 0.0, partitions=2).collect()}
+    assert got == {"1": ("<x>1</x>", None), "2": (None, "OSError: down"), "3": ("<x>3</x>", None)}
+    s = search_all(spark.createDataFrame([("a b",)], "query string"), 2, "tests.test_sources:fake", 0.0).first()
+    assert (s["query"], s.hits, s.ids, s.error) == ("a b", 2, ["7", "8"], None)
+
+
+def test_encoder_gets_batches(spark):
+    from quillstream.operators import vector as V
+
+    def make():
+        return lambda texts: [[float(len(texts))]] * len(texts)
+
+    rows = spark.createDataFrame([(i, "t") for i in range(10)], "k long, t string").coalesce(1)
+    assert sorted(r.embedding[0] for r in V.encode(rows, "t", make, 4).collect()) == [2.0] * 2 + [4.0] * 8
+    assert V.best_device() in ("cpu", "cuda", "mps")
