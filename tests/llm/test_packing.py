@@ -110,3 +110,16 @@ def test_tokens_and_texts(spark):
     e = K.encoder()
     long = "some words here " * 20_000
     assert abs(K._long(e, long) - len(e.encode_ordinary(long))) <= 4
+
+
+@pytest.mark.skipif(not os.path.exists(K.VOCABULARY), reason="no vocabulary file")
+def test_runs_count_as_the_whole(monkeypatch):
+    import random
+
+    e, rng = K.encoder(), random.Random(2)
+    monkeypatch.setattr(K, "RUN", 200)
+    for _ in range(40):
+        text = "".join(rng.choice(["word", "Wort", "12", " ", " ", "  ", "\n", ", ", "don't", "é", "…", "   x"]) for _ in range(800))
+        assert K._long(e, text) == len(e.encode_ordinary(text))
+    with pytest.raises(FileNotFoundError):
+        K.encoder("/nowhere.tiktoken")
