@@ -81,7 +81,9 @@ def texts_of(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABUL
     have no tokens, and sources that are null or have no target, take no part.
     """
     named = targets.select(F.col("source").alias("_s")).where("_s is not null").distinct()
-    rows = documents.select("doc_id", "source", "text").where("text <> ''").join(F.broadcast(named), F.col("source") == F.col("_s"), "left_semi")
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+    rows = documents.select("doc_id", "source", "text").where("text <> ''").join(named, F.col("source") == F.col("_s"), "left_semi")
     one = rows.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.reverse("text")).alias("g"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"))
     firsts = rows.join(one.select("doc_id"), "doc_id", "left_semi")
     return counted(firsts, "text", ["doc_id", "source"], vocabulary).where("tokens > 0")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm.tokens import VOCABULARY, counted
-from quillstream.session import cut, salted_rank
+from quillstream.session import BROADCAST_ROWS, cut, salted_rank
 
 CAPACITY = 2048
 #: Sizes over this share of the capacity are large, and are rounded to so many sizes.
@@ -194,7 +194,9 @@ def pack(sizes: DataFrame, key: str, tokens: str = "tokens", capacity: int = CAP
     items = cut(items)
     counts = {r.tokens: r.n for r in items.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = make_plan(counts, capacity)
-    places = F.broadcast(spark.createDataFrame(plan.places, PLACES))
+    places = spark.createDataFrame(plan.places, PLACES)
+    if len(plan.places) <= BROADCAST_ROWS:
+        places = F.broadcast(places)
     ranked = salted_rank(items, ["tokens"], [F.col(key), F.col("part")], "_rank")
     found = ranked.join(places, (F.col("tokens") == F.col("p_size")) & F.col("_rank").between(F.col("rank_from"), F.col("rank_to")))
     container = F.col("container_from") + F.floor((F.col("_rank") - F.col("rank_from")) / F.col("each"))
