@@ -25,7 +25,11 @@ def clean(xml: Column) -> Column:
 
 def is_record(xml: Column) -> Column:
     """True if the text is well-formed XML with a citation in it; paths may be taken of no other text."""
-    probe = F.from_xml(clean(xml), "PubmedArticle struct<MedlineCitation:struct<PMID:string,Article:string>>")
+    return _is_record(clean(xml))
+
+
+def _is_record(cleaned: Column) -> Column:
+    probe = F.from_xml(cleaned, "PubmedArticle struct<MedlineCitation:struct<PMID:string,Article:string>>")
     return F.coalesce(probe["PubmedArticle"]["MedlineCitation"].isNotNull(), F.lit(False))
 
 
@@ -156,5 +160,5 @@ def project(records: DataFrame, key: str, xml: str = "xml", fields: tuple[str, .
     once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
     names = tuple(made(F.lit(""), F.lit(None))) if fields is None else fields
     row = lambda x, r: F.struct(r.isNotNull().alias("valid"), *[F.when(r.isNotNull(), made(x, r)[n]).alias(n) for n in names])
-    whole = once(clean(F.col(xml)), lambda x: once(F.when(is_record(x), read(x)), lambda r: row(x, r)))
+    whole = once(clean(F.col(xml)), lambda x: once(F.when(_is_record(x), read(x)), lambda r: row(x, r)))
     return records.select(key, F.inline(F.array(whole)))
