@@ -34,6 +34,9 @@ COPIES = K + 1
 ROUTED, PLANNED = 8_192, 8_192
 #: Vectors that ask in one slot, and MB that a task reads.
 ASKS, TASK_MB = 48_000, 48
+#: Similarities that a Python worker holds at once (with their order that is 16 bytes each), visits to leaves that it takes apart at
+#: once, and rows that it sends at once.
+CELLS, VISITED, SENT = 4_000_000, 250_000, 25_000
 _SCALE = 32_000.0
 
 
@@ -144,13 +147,25 @@ class Tree:
         return out
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector: down the tree, the closest child at each level."""
-        s = x @ self.nodes.T
-        alive = np.ones((len(x), len(self.paths)), bool)
-        for d in range(self.lines.shape[1]):
-            level = np.where(alive, s[:, self.lines[:, d]], -9.0)
-            alive &= level >= level.max(axis=1, keepdims=True)
-        return alive.argmax(axis=1)
+        """The leaf of each vector: down the tree, the closest child at each level.
+
+        Vectors below one branch at the top are compared with its nodes only, so that neither the work nor the memory for a vector
+        grows with all leaves.
+        """
+        out = np.zeros(len(x), np.int64)
+        top = (x @ self.nodes[self.tops].T).argmax(axis=1)
+        by = np.argsort(top, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(top[by])) + 1) if len(x) else ():
+            under, lines, own = self.below[top[part[0]]]
+            step = max(1, CELLS // len(under))
+            for rows in (part[i : i + step] for i in range(0, len(part), step)):
+                s = x[rows] @ self.nodes[under].T
+                alive = np.ones((len(rows), len(own)), bool)
+                for d in range(1, lines.shape[1]):
+                    level = np.where(alive, s[:, lines[:, d]], -9.0)
+                    alive &= level >= level.max(axis=1, keepdims=True)
+                out[rows] = own[alive.argmax(axis=1)]
+        return out
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
@@ -209,12 +224,14 @@ def exact(vectors: DataFrame, id_: str, vector: str, queries: tuple[np.ndarray,
             if not b.num_rows:
                 continue
             x, own = unit(b.column(1)), b.column(0).to_numpy()
-            s = q @ x.T
-            s[ids[:, None] == own[None, :]] = -9.0
-            at, best = _top(s, k)
-            flat = at.ravel()
-            leaf = t.home(x[flat]) if t is not None else np.zeros(len(flat), int)
-            yield pa.record_batch([pa.array(np.repeat(ids, at.shape[1])), pa.array(own[flat]), pa.array(best.ravel().astype(np.float32)), pa.array(leaf.astype(np.int32))], names=["q", "id", "cosine", "leaf"])
+            step = max(1, CELLS // len(x))
+            for i in range(0, len(q), step):
+                s = q[i : i + step] @ x.T
+                s[ids[i : i + step, None] == own[None, :]] = -9.0
+                at, best = _top(s, k)
+                flat = at.ravel()
+                leaf = t.home(x[flat]) if t is not None else np.zeros(len(flat), int)
+                yield pa.record_batch([pa.array(np.repeat(ids[i : i + step], at.shape[1])), pa.array(own[flat]), pa.array(best.ravel().astype(np.float32)), pa.array(leaf.astype(np.int32))], names=["q", "id", "cosine", "leaf"])
 
     rows = vectors.select(id_, vector).where(valid(F.col(vector)))
     near = rows.mapInArrow(compare, "q long, id long, cosine float, leaf int").where("cosine > -5")
@@ -259,14 +276,16 @@ class Slots:
         self.first, self.parts, self.bins = _blocks(tree)
         n_bins = int(self.bins.max()) + 1
         each = rows / max(1, len(tree.sample))
-        seen = tree.reach(tree.sample, visits)
         asks, members = np.zeros(n_bins), np.zeros(n_bins)
-        many = self.parts[seen.ravel()]
-        leaf = np.repeat(seen.ravel(), many)
-        nth = np.arange(len(leaf)) - np.repeat(np.cumsum(many) - many, many)
-        who = np.repeat(np.repeat(np.arange(len(seen)), seen.shape[1]), many)
-        pairs = np.unique(np.stack([who, self.bins[self.first[leaf] + nth]]), axis=1)
-        np.add.at(asks, pairs[1], each)
+        block, step = max(1, CELLS // visits), max(1, VISITED // visits)
+        visited = (tree.reach(tree.sample[i : i + block], visits) for i in range(0, len(tree.sample), block))
+        for seen in (some[i : i + step] for some in visited for i in range(0, len(some), step)):
+            many = self.parts[seen.ravel()]
+            leaf = np.repeat(seen.ravel(), many)
+            nth = np.arange(len(leaf)) - np.repeat(np.cumsum(many) - many, many)
+            who = np.repeat(np.repeat(np.arange(len(seen)), seen.shape[1]), many)
+            pairs = np.unique(who * n_bins + self.bins[self.first[leaf] + nth])
+            asks += each * np.bincount(pairs % n_bins, minlength=n_bins)
         np.add.at(members, self.bins, np.repeat(np.array(tree.sizes) / self.parts, self.parts))
         self.salts = np.maximum(1, np.ceil(asks / ASKS)).astype(int)
         self.start = np.concatenate([[0], np.cumsum(self.salts)[:-1]])
@@ -318,38 +337,47 @@ def neighbours(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, n_visits, at = sent.value
-        f, p, to = at.first, at.parts, at.bins
-        for b in (c for whole in batches for c in (whole.slice(i, ROUTED) for i in range(0, whole.num_rows, ROUTED))):
+        block_of = max(1, min(ROUTED, CELLS // n_visits))
+        for b in (c for whole in batches for c in (whole.slice(i, block_of) for i in range(0, whole.num_rows, block_of))):
             ids, x = b.column(0).to_numpy(), unit(b.column(1))
-            home = t.home(x)
-            block = f[home] + np.abs(ids) % p[home]
-            seen = t.reach(x, n_visits)
-            # all blocks of the visited leaves, and the bins that hold them
-            who, leaf = np.repeat(np.arange(len(x)), seen.shape[1]), seen.ravel()
-            many = p[leaf]
-            who, leaf = np.repeat(who, many), np.repeat(leaf, many)
-            nth = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
-            blocks_ = f[leaf] + nth
-            order = np.lexsort((blocks_, to[blocks_], who))
-            who, blocks_ = who[order], blocks_[order]
-            bin_ = to[blocks_]
-            new = np.concatenate([[True], (who[1:] != who[:-1]) | (bin_[1:] != bin_[:-1])])
-            start = np.flatnonzero(new)
-            # a member goes to every slot of its bin, a vector that asks to one of them
-            copies = at.salts[to[block]]
-            member = np.repeat(np.arange(len(x)), copies)
-            nth = np.arange(len(member)) - np.repeat(np.cumsum(copies) - copies, copies)
-            held = at.start[to[block[member]]] + nth
-            asking = who[start]
-            asked = at.start[bin_[start]] + (np.abs(ids[asking]) // 7) % at.salts[bin_[start]]
-            code = np.round(x * _SCALE).astype(np.int16)
-            rows_at = np.concatenate([member, asking])
-            offsets = np.concatenate([np.arange(len(member)), len(member) + start, [len(member) + len(blocks_)]]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([block[member], blocks_]).astype(np.int32)))
-            raw = pa.Array.from_buffers(pa.binary(2 * DIMENSIONS), len(rows_at), [None, pa.py_buffer(np.ascontiguousarray(code[rows_at]))]).cast(pa.binary())
-            role = np.concatenate([np.zeros(len(member), bool), np.ones(len(start), bool)])
-            slot = np.concatenate([held, asked]).astype(np.int32)
-            yield pa.record_batch([pa.array(at.task[slot]), pa.array(slot), pa.array(role), pa.array(ids[rows_at]), lists, raw], names=["task", "slot", "asks", "vec_id", "blocks", "code"])
+            home, seen = t.home(x), t.reach(x, n_visits)
+            step = max(1, VISITED // (seen.shape[1] + int(at.salts.max())))
+            for i in range(0, len(x), step):
+                yield from send(ids[i : i + step], x[i : i + step], home[i : i + step], seen[i : i + step], at)
+
+    def send(ids: np.ndarray, x: np.ndarray, home: np.ndarray, seen: np.ndarray, at: Slots) -> Iterator[pa.RecordBatch]:
+        f, p, to = at.first, at.parts, at.bins
+        block = f[home] + np.abs(ids) % p[home]
+        # all blocks of the visited leaves, and the bins that hold them
+        who, leaf = np.repeat(np.arange(len(x)), seen.shape[1]), seen.ravel()
+        many = p[leaf]
+        who, leaf = np.repeat(who, many), np.repeat(leaf, many)
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+        blocks_ = f[leaf] + nth
+        order = np.lexsort((blocks_, to[blocks_], who))
+        who, blocks_ = who[order], blocks_[order]
+        bin_ = to[blocks_]
+        new = np.concatenate([[True], (who[1:] != who[:-1]) | (bin_[1:] != bin_[:-1])])
+        start = np.flatnonzero(new)
+        # a member goes to every slot of its bin, a vector that asks to one of them
+        copies = at.salts[to[block]]
+        member = np.repeat(np.arange(len(x)), copies)
+        nth = np.arange(len(member)) - np.repeat(np.cumsum(copies) - copies, copies)
+        held = at.start[to[block[member]]] + nth
+        asking = who[start]
+        asked = at.start[bin_[start]] + (np.abs(ids[asking]) // 7) % at.salts[bin_[start]]
+        code = np.round(x * _SCALE).astype(np.int16)
+        rows_at = np.concatenate([member, asking])
+        offsets = np.concatenate([np.arange(len(member)), len(member) + start, [len(member) + len(blocks_)]]).astype(np.int32)
+        flat = np.concatenate([block[member], blocks_]).astype(np.int32)
+        role = np.concatenate([np.zeros(len(member), bool), np.ones(len(start), bool)])
+        slot = np.concatenate([held, asked]).astype(np.int32)
+        for i in range(0, len(slot), SENT):
+            part, ends = rows_at[i : i + SENT], offsets[i : i + SENT + 1]
+            lists = pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(flat[ends[0] : ends[-1]]))
+            raw = pa.Array.from_buffers(pa.binary(2 * DIMENSIONS), len(part), [None, pa.py_buffer(np.ascontiguousarray(code[part]))]).cast(pa.binary())
+            to_ = slot[i : i + SENT]
+            yield pa.record_batch([pa.array(at.task[to_]), pa.array(to_), pa.array(role[i : i + SENT]), pa.array(ids[part]), lists, raw], names=["task", "slot", "asks", "vec_id", "blocks", "code"])
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
@@ -374,8 +402,9 @@ def neighbours(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding
             m, q = here[~asks[here]], here[asks[here]]
             if not len(m) or not len(q):
                 continue
-            for c in range(0, len(q), 2048):
-                part = q[c : c + 2048]
+            step = max(1, min(2048, CELLS // len(m)))
+            for c in range(0, len(q), step):
+                part = q[c : c + step]
                 s = x[part] @ x[m].T
                 s[ids[part][:, None] == ids[m][None, :]] = -9.0
                 at, top = _top(s, k)

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from quillstream.llm import vectors as V
@@ -87,6 +89,23 @@ def test_blocks_visit_what_a_queue_visits():
         assert (t.home(x[:50]) == t.reach(x[:50], 1)[:, 0]).mean() > 0.7
 
 
+def test_home_needs_no_memory_for_all_leaves():
+    """8,192 vectors go down a tree of as many leaves as a sample of 60,000 can tell apart, in a few dozen MB."""
+    x, t = small_tree(60_000, 8, 96)
+    assert len(t.paths) > 4_000
+    block = x[: V.ROUTED]
+    tracemalloc.start()
+    got = t.home(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    s, alive = block[:200] @ t.nodes.T, np.ones((200, len(t.paths)), bool)
+    for d in range(t.lines.shape[1]):
+        level = np.where(alive, s[:, t.lines[:, d]], -9.0)
+        alive &= level >= level.max(axis=1, keepdims=True)
+    assert (got[:200] == alive.argmax(axis=1)).mean() > 0.99
+
+
 def test_slots_divide_those_who_ask(monkeypatch):
     """A bin that most vectors ask for gets several slots, and tasks are of similar work."""
     x, t = small_tree(4000, 40, 8)
