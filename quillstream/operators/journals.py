@@ -42,17 +42,20 @@ def token_spans(text: Column) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)[,.;:?! ()]*?(?:{_TOKEN})"), F.lit(0))
     empty = F.struct(F.array().cast("array<struct<tok:string,start:int,stop:int,one:boolean>>").alias("a"), F.lit(0).alias("at"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        raw = F.regexp_extract(piece, rf"(?s)({_TOKEN})$", 1)
-        stop = acc["at"] + F.length(piece)
-        tok, one = F.translate(raw, ".", ""), F.translate(raw, ".", "").rlike(r"^\p{Lu}$")
+    # each value is made once for a token: an expression in a lambda is evaluated anew wherever it stands
+    read = F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, rf"(?s)({_TOKEN})$", 1).alias("raw"), F.length(p).alias("n")))
+    bare = F.transform(read, lambda r: F.struct(F.translate(r["raw"], ".", "").alias("tok"), F.length(r["raw"]).alias("w"), r["n"].alias("n")))
+    items = F.transform(bare, lambda r: F.struct(r["tok"].alias("tok"), r["w"].alias("w"), r["n"].alias("n"), r["tok"].rlike(r"^\p{Lu}$").alias("one")))
+
+    def step(acc: Column, x: Column) -> Column:
+        tok, one, stop = x["tok"], x["one"], acc["at"] + x["n"]
         last = F.try_element_at(acc["a"], F.lit(-1))
         joins = one & F.coalesce(last["one"], F.lit(False))
-        item = F.struct(F.when(joins, F.concat(last["tok"], tok)).otherwise(tok).alias("tok"), F.when(joins, last["start"]).otherwise(stop - F.length(raw)).alias("start"), stop.alias("stop"), one.alias("one"))
+        item = F.struct(F.when(joins, F.concat(last["tok"], tok)).otherwise(tok).alias("tok"), F.when(joins, last["start"]).otherwise(stop - x["w"]).alias("start"), stop.alias("stop"), one.alias("one"))
         kept = F.when(joins, F.slice(acc["a"], 1, F.greatest(F.size(acc["a"]) - 1, F.lit(0)))).otherwise(acc["a"])
         return F.struct(F.when(tok == "", acc["a"]).otherwise(F.concat(kept, F.array(item))).alias("a"), stop.alias("at"))
 
-    return F.transform(F.aggregate(pieces, empty, step)["a"], lambda t: F.struct(t["tok"].alias("tok"), t["start"].alias("start"), t["stop"].alias("stop")))
+    return F.transform(F.aggregate(items, empty, step)["a"], lambda t: F.struct(t["tok"].alias("tok"), t["start"].alias("start"), t["stop"].alias("stop")))
 
 
 def match(citations: DataFrame, key: str, text: str, idx: DataFrame) -> DataFrame:
@@ -70,8 +73,8 @@ def match(citations: DataFrame, key: str, text: str, idx: DataFrame) -> DataFram
     low = lambda a: F.transform(a, F.lower)
     toks = F.transform("_s", lambda s: s["tok"])
     kinds = F.explode(F.array(F.struct(F.lit("abbr").alias("k"), F.col("_x.tok").alias("w")), F.struct(F.lit("title").alias("k"), F.lower("_x.tok").alias("w")))).alias("_k")
-    probe = at.select(key, "_t", "_s", "_i", toks.alias("_toks"), kinds).select("*", "_k.k", "_k.w")
-    hit = probe.join(idx, (F.col("w") == F.col("last_token")) & (F.col("k") == F.col("kind")))
+    probe = at.select(key, "_t", "_s", "_i", kinds).select("*", "_k.k", "_k.w")
+    hit = probe.join(idx, (F.col("w") == F.col("last_token")) & (F.col("k") == F.col("kind"))).withColumn("_toks", toks)
     n = F.size("tokens")
     have = F.when(F.col("k") == "title", low("_toks")).otherwise(F.col("_toks"))
     first = F.col("_i") - n + 1
