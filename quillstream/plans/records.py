@@ -194,7 +194,8 @@ def refs_export_json(spark, d):
     r = current(table(spark, d, "refs")).withColumnRenamed("reference_pmids", "references")
     path = scratch(spark, "refs.json")
     write_store(r.select("pmid", F.col("ref_id").alias("ord"), *[F.coalesce(c, F.lit("")).alias(c) for c in SCALARS], "authors", "publication_types", "keywords", "references"), path)
-    back = read_store(spark, path).join(r.select("pmid", "ref_id"), "pmid")
+    ids = current(table(spark, d, "refs").select("pmid", "ref_id", "loaded_at", "citation_in_text", "journal")).select("pmid", "ref_id")
+    back = read_store(spark, path).join(ids, "pmid")
     text = lambda a: F.coalesce(F.array_join(F.transform(a, lambda x: F.coalesce(x, F.lit(""))), "|"), F.lit(""))
     who = F.transform("authors", lambda a: F.concat(F.coalesce(a["author"], F.lit("")), F.lit("="), F.coalesce(F.array_join(F.transform(a["affiliation"], lambda f: F.coalesce(f, F.lit(""))), ";"), F.lit(""))))
     return back.select("pmid", F.col("ref_id").alias("ord"), "citation_in_text", "title", "abstract", F.col("authors").isNull().alias("no_authors"), F.coalesce(F.array_join(who, "|"), F.lit("")).alias("authors"), text(F.col("keywords")).alias("keywords"), text(F.col("references")).alias("refs"))

@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,13 +42,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: What ends a record in the layout of ``store_json``, and the lines that this layout has outside of records.
+_RECORD_END = "\n  },"
+_OUTER = r'(?s)^(?:\{|\}|  \},?|  "(?:[^"\\]|\\.)*": \{|    .*)$'
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """pmid, ord and the fields of each record of a store file (one JSON object by pmid); no rows if the file is missing."""
+    """pmid, ord and the fields of each record of a store file (one JSON object by pmid); no rows if the file is missing.
+
+    ``ord`` rises with the place in the file. A file in the layout of ``write_store`` is read in parts, record by record; one in any
+    other layout is parsed as a whole, by one task. A damaged record is an error.
+    """
     schema = T.MapType(T.StringType(), RECORD)
     if not _exists(spark, path):
-        return spark.createDataFrame([], T.StructType([T.StructField("pmid", T.StringType()), T.StructField("ord", T.IntegerType()), *RECORD.fields]))
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("m"))
-    return whole.select(F.posexplode(F.map_entries("m")).alias("ord", "e")).select(F.col("e.key").alias("pmid"), "ord", "e.value.*")
+        return spark.createDataFrame([], T.StructType([T.StructField("pmid", T.StringType()), T.StructField("ord", T.LongType()), *RECORD.fields]))
+    head = spark.read.text(path).limit(1).collect()
+    if head and head[0][0] == "{" and spark.read.text(path).where(~F.col("value").rlike(_OUTER)).isEmpty():
+        each = spark.read.text(path, lineSep=_RECORD_END).select("value", (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))).alias("ord"))
+        bare = F.regexp_replace("value", r"^\{", "")
+        entry = F.concat(F.lit("{"), bare, F.when(F.col("value").rlike(r"\n\}\s*$"), "").otherwise("}}"))
+        parts = each.select("ord", F.explode(F.map_entries(F.from_json(entry, schema, {"mode": "FAILFAST"}))).alias("e"))
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("m"))
+        parts = whole.select(F.posexplode(F.map_entries("m")).alias("ord", "e")).withColumn("ord", F.col("ord").cast("long"))
+    return parts.select(F.col("e.key").alias("pmid"), "ord", "e.value.*")
 
 
 def read_journals(spark: SparkSession, path: str) -> DataFrame:
@@ -59,15 +77,24 @@ def read_journals(spark: SparkSession, path: str) -> DataFrame:
 
 def store_json(rows: Iterator[dict], one_line: tuple[str, ...] = ("publication_types", "keywords", "references")) -> Iterator[str]:
     """The text of a store file in pieces, record by record: indented, with the lists ``one_line`` on one line each."""
+    yield from _joined(_entry(r, one_line) for r in rows)
+
+
+def _entry(r: dict, one_line: tuple[str, ...] = ("publication_types", "keywords", "references")) -> str:
+    """The text of one record with its id."""
+    body = json.dumps({k: v for k, v in r.items() if k not in ("pmid", "ord")}, indent=2, ensure_ascii=False)
+    for k in one_line:
+        if r.get(k):
+            flat = ", ".join(json.dumps(x, ensure_ascii=False) for x in r[k])
+            body = body.replace(f'"{k}": ' + json.dumps(r[k], indent=2, ensure_ascii=False).replace("\n", "\n  "), f'"{k}": [ {flat} ]')
+    return "\n  " + json.dumps(str(r["pmid"]), ensure_ascii=False) + ": " + body.replace("\n", "\n  ")
+
+
+def _joined(entries: Iterator[str]) -> Iterator[str]:
     yield "{"
     first = True
-    for r in rows:
-        body = json.dumps({k: v for k, v in r.items() if k not in ("pmid", "ord")}, indent=2, ensure_ascii=False)
-        for k in one_line:
-            if r.get(k):
-                flat = ", ".join(json.dumps(x, ensure_ascii=False) for x in r[k])
-                body = body.replace(f'"{k}": ' + json.dumps(r[k], indent=2, ensure_ascii=False).replace("\n", "\n  "), f'"{k}": [ {flat} ]')
-        yield ("" if first else ",") + "\n  " + json.dumps(str(r["pmid"]), ensure_ascii=False) + ": " + body.replace("\n", "\n  ")
+    for e in entries:
+        yield e if first else "," + e
         first = False
     yield "}\n" if first else "\n}\n"
 
@@ -88,11 +115,16 @@ def append_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_store(store: DataFrame, path: str) -> None:
-    """Write a store as one file in the order of ``ord``, streaming one record at a time through the driver."""
+    """Write a store as one file in the order of ``ord``: the tasks make the texts of the records, the driver strings them together one at a time."""
     fields = [f.name for f in RECORD.fields if f.name in store.columns]
-    rows = (r.asDict(recursive=True) for r in store.orderBy("ord").select("pmid", *fields).toLocalIterator())
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_entry(r) for r in b.to_pylist()], pa.string())], ["entry"])
+
+    rows = store.orderBy("ord").select("pmid", *fields).mapInArrow(texts, "entry string").toLocalIterator(prefetchPartitions=True)
     with open_output(path) as f:
-        for piece in store_json(rows):
+        for piece in _joined(r.entry for r in rows):
             f.write(piece.encode())
 
 

@@ -49,6 +49,31 @@ def test_store_round_trip(spark, tmp_path):
     assert json.loads(out.read_text()) == {}
 
 
+def test_a_written_store_is_read_record_by_record(spark, tmp_path):
+    """Records with all that could look like the end of one; several tasks read the file, and none gets it as one row."""
+    odd = ["\n  },\n", "{", '}\\"', "\r é\u2028", ""]
+    rec = lambda i: {"title": odd[i % 5] * (i % 3) + str(i), "authors": [{"author": odd[i % 5], "affiliation": []}] * (i % 3), "keywords": odd[: i % 6]}
+    src, out = tmp_path / "src.json", str(tmp_path / "out.json")
+    want = {f'{i}"{odd[i % 5]}': rec(i) for i in range(200)}
+    src.write_text(json.dumps(want))
+    files.write_store(files.read_store(spark, str(src)), out)
+    wide = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        back = files.read_store(spark, out)
+        got = back.orderBy("ord").collect()
+        assert [r.pmid for r in got] == list(want)
+        assert all(r.asDict(recursive=True)[k] == v for r, w in zip(got, want.values()) for k, v in w.items())
+        assert back.rdd.getNumPartitions() > 3 and "wholetext" not in back._jdf.queryExecution().toString()
+        each = spark.read.text(out, lineSep=files._RECORD_END)
+        assert each.count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", wide)
+    nested = tmp_path / "hand.json"
+    nested.write_text('{\n  "1": {"title": "a"}, "2": {\n    "title": "b"\n  }\n}\n')
+    assert [(r.pmid, r.title) for r in files.read_store(spark, str(nested)).orderBy("ord").collect()] == [("1", "a"), ("2", "b")]
+
+
 def test_texts_extracts_journals(spark, tmp_path):
     (tmp_path / "A et al. 1999 J 1.md").write_text("# T\n")
     (tmp_path / "B 2000 J+K 2.txt").write_text("")
