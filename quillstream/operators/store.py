@@ -108,9 +108,14 @@ def index_text(store: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("pmid", full.alias("is_full"), F.when(full, F.col("full_text")).otherwise(made).alias("text"))
 
 
+def latest(refs: DataFrame, columns: list[str]) -> DataFrame:
+    """pmid and ``columns`` of the row loaded last for each pmid (of equal times, the highest ref_id)."""
+    kept = refs.where(F.coalesce("pmid", F.lit("")) != "").groupBy("pmid")
+    return kept.agg(F.max_by(F.struct(*columns), F.struct("loaded_at", "ref_id")).alias("r")).select("pmid", "r.*")
+
+
 def current(refs: DataFrame) -> DataFrame:
-    """The store's view of refs: for each pmid the row loaded last (of equal times, the highest ref_id), with its ``stem``."""
+    """The store's view of refs: the ``latest`` row of each pmid, with its ``stem``."""
     from quillstream.functions.text import citation_key
 
-    kept = refs.where(F.coalesce("pmid", F.lit("")) != "").groupBy("pmid").agg(F.max_by(F.struct(*[c for c in refs.columns if c != "pmid"]), F.struct("loaded_at", "ref_id")).alias("r")).select("pmid", "r.*")
-    return kept.withColumn("stem", citation_key(F.col("citation_in_text"), F.col("journal"), F.col("pmid")))
+    return latest(refs, [c for c in refs.columns if c != "pmid"]).withColumn("stem", citation_key(F.col("citation_in_text"), F.col("journal"), F.col("pmid")))
